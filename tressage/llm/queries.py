@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..plans.registry import Registry
 from ..runtime import table
-from . import topn
+from . import bpe, components, leakage, spans, topn
 
 Q = Registry()
 
@@ -28,3 +28,33 @@ def oracle_sql() -> dict:
 def p5_found(spark, d):
     pairs = table(spark, d, "candidate_pairs")
     return topn.top_n(pairs, "anchor_episode_id", "candidate_episode_id", "text_component", 5).drop("text_component")
+
+
+@Q.query()
+def p1_found(spark, d):
+    return components.notice_groups(table(spark, d, "notices"), table(spark, d, "explicit_links"))
+
+
+@Q.query()
+def p7_ids(spark, d):
+    return bpe.encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+@Q.query()
+def p8_found(spark, d):
+    return leakage.leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage")
+
+
+@Q.query()
+def p8_reparameterised(spark, d):
+    return leakage.reparameterised(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage")
+
+
+@Q.query()
+def p9_found(spark, d):
+    return spans.shared_chars(table(spark, d, "documents"), "doc_id", "text")
+
+
+@Q.query()
+def p9_intervals(spark, d):
+    return spans.shared_intervals(table(spark, d, "documents"), "doc_id", "text")
