@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..plans.registry import Registry
 from ..runtime import table
-from . import bpe, components, leakage, spans, topn
+from . import bpe, components, leakage, names, spans, topn
 
 Q = Registry()
 
@@ -58,3 +58,20 @@ def p9_found(spark, d):
 @Q.query()
 def p9_intervals(spark, d):
     return spans.shared_intervals(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _typed_names(spark, d):
+    confirmed = table(spark, d, "confirmed_links")
+    audit = table(spark, d, "review_audit_findings")
+    columns = [confirmed.select("anchor_buyer_name"), confirmed.select("candidate_buyer_name"), audit.select("anchor_buyer_name_raw")]
+    return columns[0].union(columns[1]).union(columns[2]).toDF("name")
+
+
+@Q.query()
+def p3_found(spark, d):
+    return names.same_name_pairs(names.entities(_typed_names(spark, d), "name"))
+
+
+@Q.query()
+def p3_entities(spark, d):
+    return names.entities(_typed_names(spark, d), "name")
