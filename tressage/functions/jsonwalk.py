@@ -40,7 +40,7 @@ def parse_complete(text: str | None, numerals: bool = False):
         if not isinstance(value, str) or isinstance(value, Numeral):
             break
         try:
-            value = json.loads(value.lstrip("﻿"), parse_int=kind, parse_float=kind) if kind else json.loads(value.lstrip("﻿"))
+            value = json.loads(value.lstrip("\ufeff"), parse_int=kind, parse_float=kind) if kind else json.loads(value.lstrip("\ufeff"))
         except (ValueError, RecursionError):
             return None
     return value if isinstance(value, (dict, list)) else None
