@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("notices",)
+MODULES = ("notices", "expressions", "relational")
 
 
 def _all():
