@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("notices", "expressions", "relational", "linkage")
+MODULES = ("notices", "expressions", "relational", "linkage", "survival")
 
 
 def _all():
