@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import Scratch
 
-Q, ROWS_A_BAND, LEAST_SIMILARITY, RECALL = 2, 3, 0.5, 0.999
+Q, PAD, ROWS_A_BAND, LEAST_SIMILARITY, RECALL = 3, 2, 4, 0.45, 0.999
 TOKEN, WHOLE, RATIO, SALT = 0.83, 0.85, 0.34, 8
 
 #: What people type where a name is missing, folded.
@@ -185,12 +185,13 @@ def _bands(places: DataFrame, bands: int, rows: int = ROWS_A_BAND, q: int = Q) -
         for b in batches:
             place, support, band, key = [], [], [], []
             for p, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                padded = f"^{p}$"
+                padded = "^" * PAD + p + "$" * PAD
                 grams = {padded[i : i + q] for i in range(len(padded) - q + 1)}
                 h = np.array([known.setdefault(g, xxhash.xxh64_intdigest(g)) for g in grams], np.uint64)
                 least = mix(h[None, :] ^ seeds[:, None]).min(axis=1).reshape(bands, rows)
-                with np.errstate(over="ignore"):
-                    k = mix(least[:, 0] * np.uint64(3) + (mix(least[:, 1] + np.uint64(5)) if rows > 1 else np.uint64(0)) + (mix(least[:, 2] ^ np.uint64(9)) if rows > 2 else np.uint64(0)))
+                k = np.zeros(bands, np.uint64)
+                for i in range(rows):
+                    k = mix(k ^ least[:, i])
                 place += [p] * bands
                 support += [n] * bands
                 band.append(np.arange(bands, dtype=np.int32))
