@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("notices", "expressions", "relational", "linkage", "survival")
+MODULES = ("notices", "expressions", "relational", "linkage", "survival", "episodes")
 
 
 def _all():
