@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import AGREEING, CPV_LEVELS, TEXT_LEVELS, TIME_LEVELS, level, observed, wilson
+from ..runtime import Scratch
 
 ANCHOR, CANDIDATE = "anchor_episode_id", "candidate_episode_id"
 #: The window between an award and a successor, in days, both ends included.
@@ -64,19 +65,22 @@ def padded_grams(x: Column, least: int = 3, most: int = 5) -> Column:
     return F.flatten(F.transform(words, of))
 
 
-def block_tfidf(pairs: DataFrame, docs: DataFrame, grams) -> DataFrame:
+def block_tfidf(pairs: DataFrame, docs: DataFrame, grams, scratch: Scratch | None = None) -> DataFrame:
     """(a_id, c_id, similarity): cosine of tf-idf vectors, the corpus of an anchor being it and its candidates.
 
     ``pairs`` (a_id, c_id), ``docs`` (id, text).  idf is ln((1 + n) / (1 + df)) + 1, tf raw, norm L2; 0 without shared
-    terms.  Terms are counted once a document, whatever the number of blocks it is in.
+    terms.  Terms are counted once a document, whatever the number of blocks it is in, and travel as 64-bit hashes.
     """
+    scratch = scratch or Scratch(pairs.sparkSession, "tfidf")
     terms = docs.select("id", F.explode(grams(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    pairs = pairs.select("a_id", "c_id").distinct()
+    pairs = scratch.write(pairs.select("a_id", "c_id").distinct(), "pairs")
     corpus = pairs.select("a_id", F.col("c_id").alias("id")).unionByName(pairs.select("a_id", F.col("a_id").alias("id"))).distinct()
     size = corpus.groupBy("a_id").agg(F.count(F.lit(1)).alias("n"))
-    bag = corpus.join(terms, "id")
+    bag = scratch.write(corpus.join(terms, "id").select("a_id", "id", F.xxhash64("term").alias("term"), "tf"), "bag")
     df = bag.groupBy("a_id", "term").agg(F.count(F.lit(1)).alias("df"))
     v = bag.join(df, ["a_id", "term"]).join(size, "a_id").select("a_id", "id", "term", (F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0)).alias("w"))
+    v = scratch.write(v, "vectors")
+    scratch.drop(bag)
     norm = v.groupBy("a_id", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     own = v.where("a_id = id").select("a_id", "term", F.col("w").alias("wa"))
     dot = v.where("a_id <> id").join(own, ["a_id", "term"]).groupBy("a_id", "id").agg(F.sum(F.col("w") * F.col("wa")).alias("dot"))
