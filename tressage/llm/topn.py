@@ -1,13 +1,13 @@
 """The N best items of every group, by simultaneous bisection of all groups.
 
-A row's rank is an order-preserving code of its score and its identifier: word 0 holds the bits of
-the score as a sortable 64-bit integer, the words after it seven bytes each of the identifier, negated
-so that the smaller identifier ranks higher, the last one its length.  For each group a cutoff is refined
-on that code: one pass counts the rows above the midpoints of LEVELS successive halvings at once (the
-counts of the 2**LEVELS cells those midpoints make), keeps the cell in which the group reaches N, accepts
-what lies above it and drops what lies below.  A cell that holds a single code sends the group to the next
-word.  All groups move in the same pass; a pass handles only rows that are not decided yet, which after
-the first are about N a group.
+A row's rank is an order-preserving code of its score and its identifier: word 0 holds the bits of the score
+as a sortable 64-bit integer, the words after it seven bytes each of the identifier, negated so that the
+smaller identifier ranks higher; an identifier that has ended ranks above all that go on, the shorter first.
+For each group a cutoff is refined on that code: one pass counts the rows above the midpoints of LEVELS
+successive halvings at once (the counts of the 2**LEVELS cells those midpoints make), keeps the cell in which
+the group reaches N, accepts what lies above it and drops what lies below.  A cell that holds a single code
+sends the group on, to the first word in which its identifiers differ.  All groups move in the same pass; a
+pass handles only rows that are not decided yet, which after the first are about N a group.
 
 Scale: counts are combined before the shuffle, so a group of any size costs one row a cell and task.
 The cutoffs (a row a group) meet the rows in a shuffle join; rows of hot groups are not shuffled
@@ -47,7 +47,7 @@ def _word() -> Column:
     part = "substring(encode(_i, 'utf-8'), cast((_w - 1) * 7 + 1 as int), 7)"
     chunk = F.expr(f"-cast(conv(rpad(hex({part}), 14, '0'), 16, 10) as long)")
     length = F.expr("octet_length(_i)")
-    return F.when(F.col("_w") == 0, F.col("_c")).when((F.col("_w") - 1) * _CHUNK < length, chunk).otherwise(-length.cast("long") - (1 << 60))
+    return F.when(F.col("_w") == 0, F.col("_c")).when((F.col("_w") - 1) * _CHUNK < length, chunk).otherwise(F.lit(1 << 60) - length.cast("long"))
 
 
 def _shift(lo: Column, hi: Column) -> Column:
@@ -55,26 +55,35 @@ def _shift(lo: Column, hi: Column) -> Column:
     return F.greatest(F.lit(0), F.length(F.bin(lo.bitwiseXOR(hi))) - LEVELS)
 
 
+def _common(a: Column, b: Column) -> Column:
+    """How many bytes two strings have in common at their start, found by halving."""
+    x, y = F.encode(a, "utf-8"), F.encode(b, "utf-8")
+    steps = F.array(*[F.lit(1 << k) for k in range(27, -1, -1)])
+    most = F.least(F.octet_length(a), F.octet_length(b))
+    return F.aggregate(steps, F.lit(0), lambda n, k: F.when((n + k <= most) & (F.substring(x, F.lit(1), n + k) == F.substring(y, F.lit(1), n + k)), n + k).otherwise(n))
+
+
 def _cutoffs(cells: DataFrame, need: DataFrame | None, n: int) -> DataFrame:
     """From counts by group and cell: the cell in which the group reaches what it needs, and the next cutoff."""
     down = Window.partitionBy("_g").orderBy(F.col("_b").desc())
     cells = cells.join(need.select("_g", "_need"), "_g") if need is not None else cells.withColumn("_need", F.lit(n).cast("long"))
     cells = cells.withColumn("_above", F.sum("_n").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n"))
-    at = F.min_by(F.struct("_b", "_n", "_lo", "_hi", (F.col("_need") - F.col("_above")).alias("need"), "_w"), "_b")
-    cut = cells.where(F.col("_above") < F.col("_need")).groupBy("_g").agg(at.alias("at"))
+    at = F.min_by(F.struct("_n", "_lo", "_hi", (F.col("_need") - F.col("_above")).alias("need"), "_w", "_first", "_last"), "_b")
+    cut = cells.where(F.col("_above") < F.col("_need")).groupBy("_g").agg(F.min("_b").alias("_cut"), at.alias("at"))
     one = F.col("at._lo") == F.col("at._hi")
+    onward = F.when(F.col("at._w") == 0, F.lit(1)).otherwise(F.greatest(F.col("at._w"), F.floor(_common(F.col("at._first"), F.col("at._last")) / _CHUNK).cast("int")) + 1)
     return cut.select(
-        "_g", F.col("at._b").alias("_cut"), F.col("at.need").alias("_need"),
-        (F.col("at._n") <= F.col("at.need")).alias("_all"),
-        (F.col("at._w") + one.cast("int")).alias("_w2"),
-        F.when(one, F.lit(56 - LEVELS)).otherwise(_shift(F.col("at._lo"), F.col("at._hi"))).alias("_s2"),
-    )
+        "_g", "_cut", F.col("at.need").alias("_need"), (F.col("at._n") <= F.col("at.need")).alias("_all"),
+        F.when(one, onward).otherwise(F.col("at._w")).alias("_w2"), F.when(one, F.lit(56 - LEVELS)).otherwise(_shift(F.col("at._lo"), F.col("at._hi"))).alias("_s2"))
 
 
-def _count_cells(rows: DataFrame) -> DataFrame:
+def _count_cells(rows: DataFrame, identifiers: bool) -> DataFrame:
+    """Counts by group and cell; the first and last identifier too where scores no longer decide (few rows)."""
     code = _word()
-    return rows.select("_g", "_w", code.alias("_k"), _sr(code, F.col("_s")).alias("_b")).groupBy("_g", "_b").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_k").alias("_lo"), F.max("_k").alias("_hi"), F.max("_w").alias("_w"))
+    ends = [F.min("_i").alias("_first"), F.max("_i").alias("_last")] if identifiers else []
+    cells = rows.select("_g", "_w", "_i", code.alias("_k"), _sr(code, F.col("_s")).alias("_b")).groupBy("_g", "_b").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_k").alias("_lo"), F.max("_k").alias("_hi"), F.max("_w").alias("_w"), *ends)
+    return cells if identifiers else cells.withColumns({"_first": F.lit(""), "_last": F.lit("")})
 
 
 def _sr(x: Column, s: Column) -> Column:
@@ -96,7 +105,7 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 5, scratch:
     undecided = rows.withColumns({"_w": F.lit(0), "_s": F.lit(start)})
     state, hot, taken, last = None, None, [], None
     while True:
-        cells = _count_cells(undecided)
+        cells = _count_cells(undecided, state is not None)
         if state is None:
             cells = scratch.write(cells, "cells")
             sizes = cells.groupBy("_g").agg(F.sum("_n").alias("_size"))
