@@ -4,15 +4,17 @@ A span of at least ``length`` characters that recurs consists of windows of ``le
 windows of a record that recur elsewhere, merged, are the maximal intervals.  Tokens are characters (Unicode code
 points, exactly as stored), so no boundary is missed.  Steps:
 
-1. *Anchors.*  Every window has an anchor: among the hashes of its sub-windows of ``length // 2`` the smallest, the
-   leftmost on ties.  Equal windows have equal anchors, and neighbours mostly the same, so a record has one
-   anchor in about ``length / 4`` characters.  Anchors are counted over records; a window whose anchor occurs in one
-   record cannot recur.  This drops most windows before anything is shuffled, and loses none.
-2. *Counts.*  The Rabin-Karp hashes (64 bits and 32 of a second hash) of all windows left are counted over records.
+1. *Anchors.*  Every window has an anchor: among the hashes of its sub-windows of two thirds its length the
+   smallest, the leftmost on ties.  Equal windows have equal anchors, and neighbours mostly the same, so a record has
+   one anchor in about ``length / 6`` characters.  Anchors are counted over records; a window whose anchor occurs in
+   one record cannot recur.  This drops most windows before they are shuffled, and loses none.
+2. *Counts.*  The Rabin-Karp hashes (64 bits and 31 of a second hash) of all windows left are counted over records.
 3. *Intervals.*  Windows that recur in another record merge into maximal intervals.
 
-Hashes are counted by smallest and largest record, combined before the shuffle: a passage in a third of all records
-costs one row a task.  Going back to its rows uses :func:`tressage.runtime.skew_join`.
+Scale: anchors are counted by smallest and largest record, combined before the shuffle.  A window's hash occurs at
+most as often as its anchor, so windows whose anchor is not hot form small groups and are compared within one shuffle;
+those of hot anchors, as of a passage in a third of all records, are counted with a combining aggregate, and go back to
+their rows by :func:`tressage.runtime.skew_join`.
 
 Defined results: null and short texts share nothing; a span repeated only within its record does not count;
 copies of a whole record share all of it if they are long enough; records are told apart by ``key``, which must
@@ -41,7 +43,7 @@ def _anchors(points, length: int):
 
     from .rolling import window_hashes
 
-    half = length // 2
+    half = max(1, length * 2 // 3)
     h = window_hashes(points, half)
     span, n = length - half + 1, len(points) - length + 1
     at = np.empty(n, np.int64)
@@ -110,14 +112,24 @@ def shared_windows(df: DataFrame, key: str, text: str, length: int = 120, scratc
     several = anchors.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     several = scratch.write(several.select("h", "n"), "several")
     hot = scratch.write(hot_keys(several, ["h"], "n", anchors.count()), "hot")
-    live = skew_join(anchors, several.select("h"), ["h"], hot if hot.head(1) else None, "left_semi")
-    places = live.groupBy("doc").agg(F.collect_list("at").alias("ats"))
-    windows = scratch.write(_window_rows(rows.join(places, "doc").select("doc", "text", "ats"), length), "windows")
-    scratch.drop(anchors)
-    again = windows.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    again = scratch.write(again.select("h1", "h2", "n"), "again")
-    hot = scratch.write(hot_keys(again, ["h1", "h2"], "n", windows.count()), "hot")
-    return skew_join(windows, again.select("h1", "h2"), ["h1", "h2"], hot if hot.head(1) else None, "left_semi").select("doc", "at")
+    common = bool(hot.head(1))
+
+    def windows(live: DataFrame) -> DataFrame:
+        places = live.groupBy("doc").agg(F.collect_list("at").alias("ats"))
+        return _window_rows(rows.join(places, "doc").select("doc", "text", "ats"), length)
+
+    rare = several.join(F.broadcast(hot), "h", "left_anti") if common else several
+    same = Window.partitionBy("h1", "h2")
+    cold = windows(skew_join(anchors, rare.select("h"), ["h"], hot if common else None, "left_semi"))
+    found = cold.withColumn("other", F.min("doc").over(same) < F.max("doc").over(same)).where("other").select("doc", "at")
+    if common:
+        busy = scratch.write(windows(anchors.join(F.broadcast(hot), "h", "left_semi")), "busy")
+        again = busy.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+        again = scratch.write(again.select("h1", "h2", "n"), "again")
+        top = scratch.write(hot_keys(again, ["h1", "h2"], "n", busy.count()), "hot")
+        back = skew_join(busy, again.select("h1", "h2"), ["h1", "h2"], top if top.head(1) else None, "left_semi")
+        found = found.unionByName(back.select("doc", "at"))
+    return found
 
 
 def shared_intervals(df: DataFrame, key: str, text: str, length: int = 120, scratch: Scratch | None = None) -> DataFrame:
