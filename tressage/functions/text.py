@@ -141,8 +141,8 @@ def numeral(x: Column) -> Column:
 
 def legal_family(x: Column) -> Column:
     t = F.coalesce(x, F.lit(""))
-    town = t.rlike(r"(?i)\b(commune|ville|mairie)\b")
-    union = t.rlike(r"(?i)(?<![\p{L}])(metropole|métropole|communaute|communauté|agglomeration|agglomération|epci)(?![\p{L}])")
+    town = t.rlike(r"(?iu)\b(commune|ville|mairie)\b")
+    union = t.rlike(r"(?iu)(?<![\p{L}])(metropole|métropole|communaute|communauté|agglomeration|agglomération|epci)(?![\p{L}])")
     return F.when(town & union, "mixed_label").when(town, "municipal").when(union, "intercommunal").otherwise("other")
 
 

@@ -135,12 +135,12 @@ def keyword_hits(spark, d):
     return n.select("idx", text.keyword_hits(F.col("k"), _WORDS).alias("hits"))
 
 
-@Q.query("""
-    SELECT doc_id, CAST(length(text) AS INT) AS chars, CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 0 ELSE CAST(len(string_split(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')), ' ')) AS INT) END AS words, sha256(text) AS digest
-    FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x{21}-\\x{7e}\\x{20}\\t\\n\\rà-ÿÀ-ß]')""")
+@Q.query(r"""
+    SELECT doc_id, CAST(length(text) AS INT) AS chars, CASE WHEN flat = '' THEN 0 ELSE CAST(len(string_split(flat, ' ')) AS INT) END AS words, sha256(text) AS digest
+    FROM (SELECT *, regexp_replace(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'), '^ | $', '', 'g') AS flat FROM documents WHERE text IS NOT NULL)""")
 def text_lengths(spark, d):
-    t = table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike("[^\\x21-\\x7e\\x20\\t\\n\\rà-ÿÀ-ß]"))
-    flat = F.trim(F.regexp_replace("text", "[ \\t\\n\\r]+", " "))
+    t = table(spark, d, "documents").where("text is not null")
+    flat = F.regexp_replace(F.regexp_replace("text", "[ \\t\\n\\r]+", " "), "^ | $", "")
     return t.select("doc_id", F.length("text").alias("chars"), F.when(flat == "", 0).otherwise(F.size(F.split(flat, " "))).alias("words"), F.sha2("text", 256).alias("digest"))
 
 

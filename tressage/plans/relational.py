@@ -110,12 +110,13 @@ def episode_aggregate(spark, d):
 
 
 @Q.query("""
-    SELECT buyer_key, string_agg(objet, chr(10) ORDER BY pos, objet) AS text FROM (SELECT buyer_key, min_by(objet, (idx, objet)) AS objet, min(idx) AS pos FROM notices_engineered WHERE objet <> '' AND buyer_key LIKE 'name:%' GROUP BY buyer_key, lower(objet)) GROUP BY 1""")
+    SELECT raw_source_file, buyer_key, string_agg(objet, chr(10) ORDER BY pos, objet) AS text FROM (SELECT raw_source_file, buyer_key, min_by(objet, (idx, objet)) AS objet, min(idx) AS pos FROM notices_engineered WHERE objet <> '' GROUP BY raw_source_file, buyer_key, lower(objet)) GROUP BY 1, 2""")
 def ordered_dedup_text(spark, d):
-    n = table(spark, d, "notices_engineered").where("objet <> '' and buyer_key like 'name:%'")
-    one = n.groupBy("buyer_key", F.lower("objet").alias("k")).agg(F.min_by("objet", F.struct("idx", "objet")).alias("objet"), F.min("idx").alias("at"))
-    g = one.groupBy("buyer_key").agg(F.sort_array(F.collect_list(F.struct("at", "objet"))).alias("t"))
-    return g.select("buyer_key", F.concat_ws("\n", F.transform("t", lambda x: x["objet"])).alias("text"))
+    """The distinct subjects of a buyer within a delivery, in order; a delivery is what bounds a group."""
+    n, by = table(spark, d, "notices_engineered").where("objet <> ''"), ["raw_source_file", "buyer_key"]
+    one = n.groupBy(*by, F.lower("objet").alias("k")).agg(F.min_by("objet", F.struct("idx", "objet")).alias("objet"), F.min("idx").alias("at"))
+    g = one.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("at", "objet"))).alias("t"))
+    return g.select(*by, F.concat_ws("\n", F.transform("t", lambda x: x["objet"])).alias("text"))
 
 
 @Q.query("""
