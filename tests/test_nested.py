@@ -58,3 +58,60 @@ def test_notice_rows_once(spark):
     df = spark.createDataFrame([("n", json.dumps(MAPA), '["11111111"]', "q"), ("n", json.dumps(MAPA), '["11111111"]', "r"), (None, json.dumps(MAPA), None, "s")], "idweb string, donnees string, cpv_codes_json string, item string")
     assert notice_rows(df).count() == 4
     assert notice_rows(df.limit(0)).count() == 0
+
+
+def brute(row):
+    """Codes and tenderers by walking each layout by hand."""
+    many = lambda x: x if isinstance(x, list) else [] if x is None else [x]
+    code = lambda v: str(v["#text"] if isinstance(v, dict) else v).strip()[:8]
+
+    def at(o, *keys):
+        for k in keys:
+            o = o.get(k) if isinstance(o, dict) else None
+        return o
+
+    def load(text):
+        try:
+            v = json.loads(text)
+            return json.loads(v) if isinstance(v, str) and v.startswith("{") else v
+        except (TypeError, ValueError):
+            return None
+
+    def flat(x):
+        if isinstance(x, dict):
+            return [code(x["code"])] if "code" in x else [c for v in x.values() for c in flat(v)]
+        return [c for v in x for c in flat(v)] if isinstance(x, list) else [code(x)] if isinstance(x, str) and x else []
+
+    out = {(0, "cpv", i, c) for i, c in enumerate(flat(load(row.cpv_codes_json)), 1)}
+    o = load(row.donnees)
+    lots = []
+    if isinstance(o, dict) and "EFORMS" in o:
+        n = next(iter(o["EFORMS"].values()))
+        e = at(n, "ext:UBLExtensions", "ext:UBLExtension", "ext:ExtensionContent", "efext:EformsExtension")
+        orgs = {at(c, "cac:PartyIdentification", "cbc:ID"): at(c, "cac:PartyName", "cbc:Name") for g in many(at(e, "efac:Organizations", "efac:Organization")) for c in many(g.get("efac:Company"))}
+        won = {}
+        for r in many(at(e, "efac:NoticeResult", "efac:LotResult")):
+            won.setdefault(at(r, "efac:TenderLot", "cbc:ID"), []).extend(orgs[t["cbc:ID"]] for t in many(at(r, "efac:TenderingParty", "efac:Tenderer")))
+        for lot in many(n.get("cac:ProcurementProjectLot")):
+            p = lot.get("cac:ProcurementProject", {})
+            lots.append(([code(m["cbc:ItemClassificationCode"]) for k in ("Main", "Additional") for m in many(p.get(f"cac:{k}CommodityClassification"))], won.get(at(lot, "cbc:ID", "#text"), [])))
+    elif isinstance(o, dict) and "OBJET" in o:
+        won = {}
+        for r in many(at(o, "ATTRIBUTION", "DECISION")):
+            won.setdefault(r["NUM_LOT"], []).extend(t["DENOMINATION"] for t in many(r.get("TITULAIRE")))
+        lots = [([code(c) for k in ("PRINCIPAL", "SUPPLEMENTAIRE") for c in many(at(lot, "CPV", k))], won.get(lot["NUM"], [])) for lot in many(at(o, "OBJET", "LOTS", "LOT"))]
+    elif isinstance(o, dict):
+        for lot in many(at(next(iter(o.values())), "initial", "lots", "lot")):
+            c = lot.get("cpv")
+            found = [c["principal"], *many(c.get("additionnel"))] if isinstance(c, dict) and "principal" in c else [x["code"] for x in many(c)]
+            lots.append((list(map(code, found)), [t["nom"] for t in many(at(lot, "attribution", "titulaire"))]))
+    for i, (cs, ts) in enumerate(lots, 1):
+        out |= {(i, "cpv", k, c) for k, c in enumerate(cs, 1)} | {(i, "tenderer", k, t) for k, t in enumerate(ts, 1)}
+    return {(row.idweb, *x) for x in out}
+
+
+def test_against_brute_force(spark, data):
+    df = spark.read.parquet(f"{data}/notices_engineered.parquet")
+    want = set().union(*map(brute, df.select("idweb", "donnees", "cpv_codes_json").collect()))
+    got = [tuple(r) for r in notice_rows(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 500

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 HOT_FLOOR = 20_000
 
+_shipped: set[str] = set()
 _left_behind: list[tuple[SparkSession, str]] = []
 
 
@@ -29,6 +31,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python once an application, so that they need no installation of it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    here = Path(__file__).parent
+    held = Path(tempfile.mkdtemp(prefix="tressage-code-")) / f"{here.name}-{sc.applicationId}.zip"
+    with zipfile.ZipFile(held, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    sc.addPyFile(str(held))
+
+
 class Scratch:
     """Intermediate tables as compressed Parquet in the shared folder.
 
@@ -37,6 +53,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/tressage-{label}-{uuid.uuid4().hex[:12]}", 0
         _left_behind.append((spark, self.root))
 
@@ -71,6 +88,7 @@ def _clear() -> None:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -102,6 +120,7 @@ def python_rows(df: DataFrame, kernel, schema: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    ship(df.sparkSession)
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
