@@ -234,6 +234,22 @@ def test_shared_chars_against_brute_force(spark, n):
     assert got == brute_shared(docs, n)
 
 
+def test_texts_longer_than_a_block(spark, monkeypatch):
+    r = random.Random(11)
+    docs = [(d, "".join(r.choice("abcdefgh") for _ in range(700))) for d in range(6)]
+    docs += [(10, docs[0][1][100:400] + "x" * 90 + docs[1][1][:333]), (11, docs[2][1] + docs[3][1]), (12, docs[0][1][390:420])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute_shared(docs, 21)
+    rows = df.selectExpr("doc_id as doc", "text")
+    monkeypatch.setattr(spans, "PIECE", 50)
+    pieces = list(spans._pieces([1, 2], [docs[0][1], "y" * 20], [None, None], 21))
+    assert sum(len(p[0]) for p in pieces) == 14 and max(int(p[3].sum()) for p in pieces) <= 70
+    windows = {(1, int(x)) for p in pieces for t, s in zip(*spans._inside(p[2], p[3], 21)[::-1]) for x in [s - p[2][t] + p[1][t]]}
+    assert windows == {(1, k) for k in range(680)}
+    monkeypatch.undo()
+    assert {x.doc_id: x.shared_chars for x in spans.shared_chars(df, "doc_id", "text", 21).collect()} == want and rows.count() == 9
+
+
 def test_spans_of_nothing(spark):
     df = spark.createDataFrame([(1, "a" * 500), (2, None)], "doc_id long, text string")
     assert spans.shared_chars(df, "doc_id", "text").count() == 0 and spans.shared_chars(df.limit(0), "doc_id", "text").count() == 0

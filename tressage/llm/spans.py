@@ -28,13 +28,43 @@ from pyspark.sql import functions as F
 
 from ..runtime import Scratch, hot_keys, skew_join
 
-_ROWS = 500
+#: Characters hashed together: short texts end to end, a longer one in blocks that overlap by a window less one.
+PIECE = 1 << 16
 
 
-def _points(text: str):
+def _pieces(docs: list, texts: list, extra: list, length: int):
+    """(ids, bases, starts, sizes, points, extra) of runs of texts or blocks laid end to end.
+
+    ``bases`` is where a block begins in its text, ``starts`` where it begins in the run; every window lies within one block.
+    """
+    import numpy as np
+
+    ids, bases, run, more, size = [], [], [], [], 0
+
+    def flush():
+        sizes = np.array([len(t) for t in run])
+        points = np.frombuffer("".join(run).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        return np.array(ids, np.int64), np.array(bases), np.cumsum(sizes) - sizes, sizes, points, more
+
+    for doc, text, x in zip(docs, texts, extra):
+        for base in range(0, len(text) - length + 1, PIECE):
+            block = text[base : base + PIECE + length - 1]
+            if run and size + len(block) > PIECE:
+                yield flush()
+                ids, bases, run, more, size = [], [], [], [], 0
+            ids.append(doc), bases.append(base), run.append(block), more.append(x)
+            size += len(block)
+    if run:
+        yield flush()
+
+
+def _inside(starts, sizes, length: int):
+    """(place, text) of every window of ``length`` that lies within one text, places counted over the whole run."""
     import numpy as np
 
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = sizes - length + 1
+    text = np.repeat(np.arange(len(sizes)), n)
+    return np.arange(len(text)) - np.repeat(np.cumsum(n) - n - starts, n), text
 
 
 def _anchors(points, length: int):
@@ -43,9 +73,9 @@ def _anchors(points, length: int):
 
     from .rolling import window_hashes
 
-    half = max(1, length * 2 // 3)
-    h = window_hashes(points, half)
-    span, n = length - half + 1, len(points) - length + 1
+    part = max(1, length * 2 // 3)
+    h = window_hashes(points, part)
+    span, n = length - part + 1, len(points) - length + 1
     at = np.empty(n, np.int64)
     for i in range(0, n, 1 << 16):
         j = min(n, i + (1 << 16))
@@ -60,17 +90,14 @@ def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            for s in range(0, b.num_rows, _ROWS):
-                part = b.slice(s, _ROWS)
-                docs, hashes, at = [], [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    if text is None or len(text) < length:
-                        continue
-                    p, h = _anchors(_points(text), length)
-                    first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-                    docs.append(np.full(len(first), doc)), hashes.append(h[first].view(np.int64)), at.append(p[first].astype(np.int32))
-                if docs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, hashes, at)], names=["doc", "h", "at"])
+            docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for ids, bases, starts, sizes, points, _ in _pieces(docs, texts, docs, length):
+                place, text = _inside(starts, sizes, length)
+                at, h = _anchors(points, length)
+                at, h = at[place], h[place]
+                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                text, at = text[first], at[first]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(h[first].view(np.int64)), pa.array((at - starts[text] + bases[text]).astype(np.int32))], names=["doc", "h", "at"])
 
     return rows.mapInArrow(run, "doc long, h long, at int")
 
@@ -85,21 +112,19 @@ def _window_rows(rows: DataFrame, length: int) -> DataFrame:
         from .rolling import mix, window_hashes
 
         for b in batches:
-            for s in range(0, b.num_rows, _ROWS):
-                part = b.slice(s, _ROWS)
-                docs, h1, h2, at = [], [], [], []
-                for doc, text, ats in zip(*[part.column(i).to_pylist() for i in range(3)]):
-                    points = _points(text)
-                    p, _ = _anchors(points, length)
-                    wanted = np.zeros(len(points), bool)
-                    wanted[np.asarray(ats)] = True
-                    pos = np.flatnonzero(wanted[p])
-                    docs.append(np.full(len(pos), doc)), at.append(pos.astype(np.int32))
-                    h1.append(window_hashes(points, length)[pos].view(np.int64))
-                    second = window_hashes(mix(points + np.uint64(0xABCDEF)), length)[pos]
-                    h2.append((second >> np.uint64(33)).astype(np.int32))
-                if docs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, h1, h2, at)], names=["doc", "h1", "h2", "at"])
+            docs, texts, kept = (b.column(i).to_pylist() for i in range(3))
+            for ids, bases, starts, sizes, points, ats in _pieces(docs, texts, kept, length):
+                wanted = np.zeros(len(points), bool)
+                for a, base, start, size in zip(ats, bases, starts, sizes):
+                    a = np.asarray(a, np.int64) - base
+                    wanted[a[(a >= 0) & (a < size)] + start] = True
+                place, text = _inside(starts, sizes, length)
+                at, _ = _anchors(points, length)
+                keep = wanted[at[place]]
+                place, text = place[keep], text[keep]
+                h1 = window_hashes(points, length)[place].view(np.int64)
+                h2 = (window_hashes(mix(points + np.uint64(0xABCDEF)), length)[place] >> np.uint64(33)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(h1), pa.array(h2), pa.array((place - starts[text] + bases[text]).astype(np.int32))], names=["doc", "h1", "h2", "at"])
 
     return rows.mapInArrow(run, "doc long, h1 long, h2 int, at int")
 
