@@ -121,7 +121,7 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 5, scratch:
         if last is not None and not last.where("_in").head(1):
             scratch.drop(last)
             taken.pop(-2)
-        last, hot = kept, None
+        last = kept
         undecided = kept.where("not _in").drop("_in")
         if not undecided.head(1):
             break
