@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as texts
 from ..functions.scores import AGREEING, CPV_LEVELS, TEXT_LEVELS, TIME_LEVELS, level, observed, wilson
 from ..runtime import Scratch
 
@@ -20,6 +21,8 @@ GAP = (90, 2920)
 #: Fixed values of the gates of the weighted method.
 GATES = {"text": 0.25, "text_without_cpv": 0.55, "text_for_fuzzy": 0.40, "fuzzy_name": 0.82}
 STRONG = ("siren", "normalized_name")
+#: Names that share a token are candidates with at least this Jaccard overlap of tokens or sequence ratio.
+TOKEN_OVERLAP, NAME_SIMILARITY = 0.34, 0.72
 LAPLACE, LAMBDA0, LAMBDA_BOUNDS = 0.5, 5e-4, (1e-9, 0.5)
 
 
@@ -111,6 +114,43 @@ def sequence_ratio(pairs: DataFrame, left: str, right: str, out: str = "ratio")
     return pairs.withColumn(out, F.pandas_udf(ratio, "double")(F.col(left), F.col(right)))
 
 
+def token_pairs(names: DataFrame, name: str, block: int = 500) -> DataFrame:
+    """(a_name, b_name, overlap, kept_by): names, a_name <= b_name, that share any token and pass the buyer test.
+
+    kept_by is same_name, token_overlap (Jaccard >= TOKEN_OVERLAP) or similarity (ratio >= NAME_SIMILARITY with either
+    name first).  No token is too frequent: one side of a token's names is split into parts of about ``block`` that meet
+    copies of the other side.  A pair is made at its smallest shared token only.  The bounds before the ratio are exact.
+    """
+    from difflib import SequenceMatcher
+
+    import pandas as pd
+
+    def similar(a, b, overlap):
+        found, m, of = [], SequenceMatcher(), None
+        for x, y, o in zip(a, b, overlap):
+            if o >= TOKEN_OVERLAP:
+                found.append(False)
+                continue
+            if y != of:
+                m.set_seq2(of := y)
+            m.set_seq1(x)
+            ok = m.real_quick_ratio() >= NAME_SIMILARITY and m.quick_ratio() >= NAME_SIMILARITY
+            found.append(ok and (m.ratio() >= NAME_SIMILARITY or SequenceMatcher(None, y, x).ratio() >= NAME_SIMILARITY))
+        return pd.Series(found, dtype=bool)
+
+    similar.__annotations__ = {"a": pd.Series, "b": pd.Series, "overlap": pd.Series, "return": pd.Series}
+    n = names.select(F.col(name).alias("name")).where("name is not null").distinct().withColumn("tokens", texts.name_tokens(F.col("name")))
+    t = n.select("name", "tokens", F.explode("tokens").alias("w"))
+    t = t.join(t.groupBy("w").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")), "w")
+    a = t.select("w", F.col("name").alias("a_name"), F.col("tokens").alias("a_tokens"), F.pmod(F.hash("name"), F.col("parts")).alias("part"))
+    b = t.select("w", F.col("name").alias("b_name"), F.col("tokens").alias("b_tokens"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    p = a.join(b, ["w", "part"]).where((F.col("a_name") <= F.col("b_name")) & (F.col("w") == F.array_min(F.array_intersect("a_tokens", "b_tokens"))))
+    p = p.select("a_name", "b_name", texts.jaccard(F.col("a_tokens"), F.col("b_tokens")).alias("overlap"))
+    p = p.withColumn("similar", F.pandas_udf(similar, "boolean")("a_name", "b_name", "overlap")).where((F.col("overlap") >= TOKEN_OVERLAP) | F.col("similar"))
+    kept = F.when(F.col("a_name") == F.col("b_name"), "same_name").when(F.col("similar"), "similarity").otherwise("token_overlap")
+    return p.select("a_name", "b_name", "overlap", kept.alias("kept_by"))
+
+
 def _zero(c: str) -> Column:
     return F.coalesce(observed(F.col(c)), F.lit(0.0))
 

@@ -54,6 +54,26 @@ def token_blocking_pairs(spark, d):
     return t.select(F.col("e").alias("a_id"), "w").join(t.select(F.col("e").alias("b_id"), "w"), "w").where("a_id < b_id").select("a_id", "b_id").distinct()
 
 
+def _names(spark, d):
+    p = table(spark, d, "candidate_pairs").where("anchor_buyer_name is not null")
+    return p.select(text.text_key(F.col("anchor_buyer_name")).alias("name"), F.col("anchor_episode_id").alias("episode_id"))
+
+
+@Q.query()
+def token_candidates(spark, d):
+    """Buyer names that share any token, however frequent, and pass the buyer test.
+
+    The candidate episodes are the rows of ``token_candidate_members`` of both names; copies are not expanded into pairs.
+    """
+    return ops.token_pairs(_names(spark, d), "name")
+
+
+@Q.query()
+def token_candidate_members(spark, d):
+    """The episodes of each name of ``token_candidates``."""
+    return _names(spark, d).where(F.size(text.name_tokens(F.col("name"))) > 0).distinct()
+
+
 def _texts(spark, d):
     n = table(spark, d, "notices_engineered").where("objet is not null and objet <> ''").groupBy(F.col("idx").alias("id"), "idweb").agg(F.max("objet").alias("text"))
     e = table(spark, d, "explicit_links").select(F.col("right_idx").alias("a_id"), text.trimmed(F.col("target_idweb")).alias("idweb")).distinct()
