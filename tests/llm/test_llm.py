@@ -204,6 +204,38 @@ def test_changed_slots_are_told_from_copies(spark):
     assert got == {2}  # the third document changes one of two equal values only
 
 
+def brute_reparameterised(docs, items, n):
+    """Of texts without names and units: (doc, item) -> (windows, changed)."""
+    mark = lambda w: tuple("#" if any(c.isdigit() for c in x) else x for x in w)
+    windows = lambda t: [tuple(t.split()[k : k + n]) for k in range(len(t.split()) - n + 1)]
+    held = {(i, v) for i, t in items for v in windows(t)}
+    copies, out = {v for _, v in held}, {}
+    for d, t in docs:
+        for w in windows(t):
+            best = {}
+            for i, v in held:
+                to = set(zip(v, w))
+                if w not in copies and mark(v) == mark(w) and len(to) == len(set(v)):
+                    best[i] = max(best.get(i, 0), sum(a != b for a, b in to))
+            for i, c in best.items():
+                k, m = out.get((d, i), (0, 0))
+                out[d, i] = (k + 1, max(m, c))
+    return out
+
+
+def test_every_item_of_a_template_is_tested(spark, monkeypatch):
+    text = "candidat {} obtient {} puis {} encore"
+    items = [(1, text.format(5, 5, 7)), (2, text.format(5, 6, 7)), (3, text.format(1, 2, 1)), (4, text.format(3, 3, 3) + " " + text.format(3, 4, 3))]
+    docs = [(10, text.format(8, 9, 8)), (11, text.format(8, 8, 9)), (12, text.format(5, 6, 7)), (13, text.format(8, 8, 8) + " " + text.format(1, 2, 3)), (14, "rien")]
+    c, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")
+    want = brute_reparameterised(docs, items, 6)
+    assert (10, 2) in want and (10, 3) in want and (10, 1) not in want  # the smallest item alone would lose the document
+    for most in (leakage.BROADCAST_ITEMS, 1):
+        monkeypatch.setattr(leakage, "BROADCAST_ITEMS", most)
+        got = {(r.doc_id, r.item_id): (r.windows, r.changed) for r in leakage.reparameterised(c, "doc_id", "text", e, "item_id", "passage", size=6).collect()}
+        assert got == want
+
+
 # --- spans ---------------------------------------------------------------------------------------------------------
 
 

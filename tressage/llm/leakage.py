@@ -224,16 +224,21 @@ def leaked(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str,
 def reparameterised(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, passage: str, size: int = 12, scratch: Scratch | None = None) -> DataFrame:
     """(key, item, windows, changed): documents that hold windows of an item's template with other slots.
 
-    One item stands for all with the same template window, the smallest.  The substitution must be consistent: one
-    value of the item always becomes the same value of the document within a window.
+    Every item of a template is tested.  The substitution must be consistent: one value of the item always becomes the
+    same value of the document within a window.  A window counts once an item, by its largest consistent substitution
+    where the item holds the template several times.
     """
     found, held = template_matches(corpus, key, text, items, item, passage, size, scratch)
     small = F.broadcast if held.count() <= BROADCAST_ITEMS else lambda x: x
     exact = small(held.select("th", "wh").distinct())
-    one = held.groupBy("th").agg(F.min_by(F.struct("item", "item_words"), F.struct("item", "wh")).alias("x")).select("th", "x.item", "x.item_words")
-    other = found.join(exact, ["th", "wh"], "left_anti").join(small(one), "th")
-    pairs = F.arrays_zip(F.col("item_words").alias("i"), F.col("doc_words").alias("d"))
-    other = other.withColumn("p", F.array_distinct(F.transform(pairs, lambda x: F.struct(x["i"].alias("i"), x["d"].alias("d")))))
-    clean = F.size(F.array_distinct(F.transform("p", lambda x: x["i"]))) == F.size("p")
-    other = other.where(clean).withColumn("c", F.size(F.filter("p", lambda x: x["i"] != x["d"])))
+    each = held.groupBy("th", "item").agg(F.collect_set("item_words").alias("variants"))
+    other = found.join(exact, ["th", "wh"], "left_anti").join(small(each), "th")
+
+    def changes(variant):
+        """How many values the substitution changes; null if it is not consistent."""
+        pairs = F.array_distinct(F.zip_with(variant, "doc_words", lambda i, d: F.struct(i.alias("i"), d.alias("d"))))
+        clean = F.size(F.array_distinct(variant)) == F.size(pairs)
+        return F.when(clean, F.size(F.filter(pairs, lambda x: x["i"] != x["d"])))
+
+    other = other.withColumn("c", F.array_max(F.transform("variants", changes))).where("c is not null")
     return other.groupBy(F.col("doc").alias(key), F.col("item").alias(item)).agg(F.count(F.lit(1)).alias("windows"), F.max("c").alias("changed"))
