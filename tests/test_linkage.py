@@ -3,6 +3,9 @@
 import random
 from difflib import SequenceMatcher
 
+import duckdb
+from pyspark.sql import functions as F
+
 from tressage import plans
 from tressage.operators import linkage
 
@@ -43,3 +46,23 @@ def test_token_candidates_keep_frequent_tokens(spark):
     found = {e for x in pairs for n in (x.a_name, x.b_name) for e in members[n] if len(members[n]) > 1 or x.a_name != x.b_name}
     rare = {e for x in plans.queries()["token_blocking_pairs"](spark, data).collect() for e in x}
     assert len(rare) < len(found) == 625  # one episode's name has no partner
+
+
+def test_every_row_is_ranked_and_a_hot_group_is_split(spark):
+    r = random.Random(3)
+    rows = [("hot" if r.random() < 0.7 else r.choice(["a", "b", None]), r.choice([None, 0.5, r.random()]), k) for k in range(2000)]
+    df = spark.createDataFrame(rows, "g string, s double, i int")
+    got = {(x.g, x.i): x.rank_no for x in linkage.ranked(df, "g", [F.desc_nulls_last("s"), F.col("i")]).collect()}
+    want, seen = {}, {}
+    for g, s, i in sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[2])):
+        want[g, i] = seen[g] = seen.get(g, 0) + 1
+    assert got == want and len(got) == len(rows)
+
+
+def test_ranks_of_every_candidate_equal_sql(spark, data):
+    duck = duckdb.connect()
+    for t in ("candidate_pairs", "orders"):
+        duck.execute(f"create view {t} as select * from read_parquet('{data}/{t}.parquet')")
+    for name in ("candidate_rank_all", "candidate_rank_by_gap_all"):
+        got, rel = plans.queries()[name](spark, data), duck.sql(plans.oracle_sql()[name])
+        assert sorted(map(str, map(tuple, got.select(*rel.columns).collect()))) == sorted(map(str, rel.fetchall()))

@@ -151,6 +151,22 @@ def token_pairs(names: DataFrame, name: str, block: int = 500) -> DataFrame:
     return p.select("a_name", "b_name", "overlap", kept.alias("kept_by"))
 
 
+def ranked(rows: DataFrame, group: str, order: list[Column], out: str = "rank_no", scratch: Scratch | None = None) -> DataFrame:
+    """Adds the rank from 1 of every row within its group, a hot group being ranked by many tasks.
+
+    The rows are sorted by ranges over group and order together and written with the number of their range; a rank is
+    the one within group and range plus the group's rows in earlier ranges.
+    """
+    scratch = scratch or Scratch(rows.sparkSession, "ranked")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = scratch.write(rows.repartitionByRange(n, F.col(group), *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = r.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n")).select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = r.withColumn("_k", F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order)))
+    j = within.join(counts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return j.withColumn(out, (F.col("_k") + F.col("_before")).cast("int")).select(*rows.columns, out)
+
+
 def _zero(c: str) -> Column:
     return F.coalesce(observed(F.col(c)), F.lit(0.0))
 

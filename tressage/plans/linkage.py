@@ -42,6 +42,12 @@ def candidate_rank_by_gap(spark, d):
     return candidate_pairs_blocked(spark, d).withColumn("rank_no", F.row_number().over(w)).where("rank_no <= 5")
 
 
+@Q.query(_PAIRS + " SELECT a_id, c_id, gap_days, CAST(row_number() OVER (PARTITION BY a_id ORDER BY abs(gap_days - 1461), c_id) AS INT) AS rank_no FROM p")
+def candidate_rank_by_gap_all(spark, d):
+    """The rank of every pair of an anchor; ``candidate_rank_by_gap`` has the first five."""
+    return ops.ranked(candidate_pairs_blocked(spark, d), "a_id", [F.abs(F.col("gap_days") - 1461), F.col("c_id")])
+
+
 @Q.query(r"""
     WITH t AS (SELECT DISTINCT anchor_episode_id AS e, unnest(list_filter(string_split(trim(regexp_replace(strip_accents(lower(anchor_buyer_name)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) >= 4 AND NOT regexp_matches(x, '^[0-9]+$'))) AS w FROM candidate_pairs WHERE anchor_buyer_name IS NOT NULL),
     f AS (SELECT w FROM t GROUP BY 1 HAVING count(*) <= 30)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import linkage
 from ..runtime import table
 from .registry import Registry
 
@@ -201,6 +202,14 @@ def candidate_rank(spark, d):
     return table(spark, d, "candidate_pairs").withColumn("rank_no", F.row_number().over(w)).where("rank_no <= 3").select("anchor_episode_id", "candidate_episode_id", "linkage_score", "rank_no")
 
 
+@Q.query("SELECT anchor_episode_id, candidate_episode_id, linkage_score, CAST(row_number() OVER (PARTITION BY anchor_episode_id ORDER BY linkage_score DESC NULLS LAST, candidate_origin_date, candidate_episode_id, candidate_version, gap_days) AS INT) AS rank_no FROM candidate_pairs")
+def candidate_rank_all(spark, d):
+    """The rank of every candidate of an anchor; ``candidate_rank`` has the first three."""
+    p = table(spark, d, "candidate_pairs").select("anchor_episode_id", "candidate_episode_id", "linkage_score", "candidate_origin_date", "candidate_version", "gap_days")
+    order = [F.desc_nulls_last("linkage_score"), *[F.asc_nulls_last(c) for c in ("candidate_origin_date", "candidate_episode_id", "candidate_version", "gap_days")]]
+    return linkage.ranked(p, "anchor_episode_id", order).select("anchor_episode_id", "candidate_episode_id", "linkage_score", "rank_no")
+
+
 @Q.query("""
     WITH c AS (SELECT anchor_episode_id AS a, candidate_episode_id AS c, max(coalesce(text_component, 0)) AS s, bool_or(coalesce(text_component, 0) >= 0.3) AS keep FROM candidate_pairs WHERE text_component IS NULL OR NOT isnan(text_component) GROUP BY 1, 2),
     r AS (SELECT *, bool_or(keep) OVER (PARTITION BY a) AS any_kept, row_number() OVER (PARTITION BY a, keep ORDER BY s DESC, c) AS in_class, row_number() OVER (PARTITION BY a ORDER BY s DESC, c) AS in_all FROM c)
