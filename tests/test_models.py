@@ -165,3 +165,20 @@ def test_top1_and_abstention(spark):
     m = linkage.confusion(p, truth).first()
     assert (m.tp, m.fn_abstained, m.tn, m.precision, m.recall, m.fpr) == (1, 1, 1, 1.0, 0.5, 0.0)
     assert linkage.confusion(p, truth.limit(0)).first().precision is None
+
+
+def test_bootstrap_of_all_ages_equals_each_alone(spark, lives):
+    _, df = lives
+    got = {(r.draw, r.age, r.horizon): r.probability for r in survival.bootstrap_conditionals(df, "id", [0.0, 4.0], [2.0, 5.0], draws=6).collect()}
+    assert len(got) == 6 * 4
+    for age, horizon in ((0.0, 5.0), (4.0, 2.0)):
+        for r in survival.bootstrap_conditional(df, "id", age, horizon, draws=6).collect():
+            assert r.probability == got[r.draw, age, horizon] and 0 < r.probability < 1
+
+
+def test_bootstrap_query_takes_all_draws_ages_and_horizons(spark, data):
+    from tressage import plans
+
+    rows = plans.queries()["km_bootstrap"](spark, data).collect()
+    assert {(r.age, r.horizon) for r in rows} == {(a, h) for a in (0.0, 12.0, 24.0, 36.0, 48.0) for h in (12.0, 24.0)}
+    assert len(rows) == 10 and all(r.draws == 500 and r.low <= r.median <= r.high for r in rows)

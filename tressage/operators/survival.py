@@ -275,9 +275,14 @@ def parametric_fits(rows: DataFrame) -> list[dict]:
 
 
 def bootstrap_conditional(rows: DataFrame, key: str, age: float, horizon: float, draws: int = 500, seed: int = 0) -> DataFrame:
-    """(draw, probability): conditional probability under Poisson bootstrap weights derived from the key and the draw.
+    """(draw, probability) of :func:`bootstrap_conditionals` at one age and horizon."""
+    return bootstrap_conditionals(rows, key, [age], [horizon], draws, seed).select("draw", "probability")
 
-    Weights depend on the key and draw only, so a lost task redraws the same.  Rows are weighted and counted by time
+
+def bootstrap_conditionals(rows: DataFrame, key: str, ages: list[float], horizons: list[float], draws: int = 500, seed: int = 0) -> DataFrame:
+    """(draw, age, horizon, probability): conditional probability under Poisson bootstrap weights derived from the key and the draw.
+
+    All ages and horizons come from one set of weighted counts.  Weights depend on the key and draw only, so a lost task redraws the same.  Rows are weighted and counted by time
     within each draw before any window.
     """
     weights = [(0.36787944117144233, 0), (0.7357588823428847, 1), (0.9196986029286058, 2), (0.9810118431238462, 3), (0.9963401531726563, 4)]
@@ -293,7 +298,11 @@ def bootstrap_conditional(rows: DataFrame, key: str, age: float, horizon: float,
     dead = F.max((F.col("d") == F.col("at_risk")).cast("int")).over(up)
     logs = F.sum(F.when(F.col("d") < F.col("at_risk"), F.log(1 - F.col("d") / F.col("at_risk"))).otherwise(0.0)).over(up)
     t = g.withColumn("survival", F.when(dead == 1, F.lit(0.0)).otherwise(F.exp(logs)))
-    return conditional_probability(t, [age], horizon, ["draw"]).select("draw", "probability")
+    s = survival_at(t, sorted({*ages, *[a + h for a in ages for h in horizons]}), ["draw"])
+    grid = F.array(*[F.struct(F.lit(float(a)).alias("age"), F.lit(float(h)).alias("horizon")) for a in ages for h in horizons])
+    curve = s.groupBy("draw").agg(F.map_from_entries(F.collect_list(F.struct("months", "survival"))).alias("at")).withColumn("x", F.explode(grid)).select("draw", "x.age", "x.horizon", "at")
+    now, then = F.element_at("at", F.col("age")), F.element_at("at", F.col("age") + F.col("horizon"))
+    return curve.select("draw", "age", "horizon", F.when(now > 0, 1 - then / now).alias("probability"))
 
 
 def standardised_difference(rows: DataFrame, value: str, flag: str) -> DataFrame:

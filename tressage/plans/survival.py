@@ -193,5 +193,5 @@ def parametric(spark, d):
 
 @Q.query()
 def km_bootstrap(spark, d):
-    b = ops.bootstrap_conditional(dataset(spark, d), "id", 12.0, 12.0, draws=100)
-    return b.agg(F.count(F.lit(1)).alias("draws"), F.percentile("probability", F.lit(0.025)).alias("low"), F.percentile("probability", F.lit(0.5)).alias("median"), F.percentile("probability", F.lit(0.975)).alias("high"))
+    b = ops.bootstrap_conditionals(dataset(spark, d), "id", [0.0, 12.0, 24.0, 36.0, 48.0], [12.0, 24.0])
+    return b.groupBy("age", "horizon").agg(F.count(F.lit(1)).alias("draws"), F.percentile("probability", F.lit(0.025)).alias("low"), F.percentile("probability", F.lit(0.5)).alias("median"), F.percentile("probability", F.lit(0.975)).alias("high"))
