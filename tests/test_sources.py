@@ -78,3 +78,10 @@ def test_streams_drop_repeats(spark, data):
     s = events.first_seen(events.open_stream(spark, data, "events"), "ts", ["event_id"])
     got = events.run_to_end(s, "append", "first")
     assert got.count() == spark.read.parquet(f"{data}/events.parquet").count()
+
+
+def test_asserted_join_keeps_every_row_of_the_left_side(spark, data):
+    from tressage import plans
+
+    li = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    assert plans.queries()["asserted_join_all"](spark, data).count() == li > plans.queries()["asserted_join"](spark, data).count()

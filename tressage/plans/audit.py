@@ -32,7 +32,17 @@ def relabelled_reviews(spark, d):
 
 @Q.query("SELECT l_orderkey, l_linenumber, o_custkey, c_mktsegment FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_quantity > 40")
 def asserted_join(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity > 40").withColumnRenamed("l_orderkey", "o_orderkey")
+    return _asserted(spark, d, table(spark, d, "lineitem").where("l_quantity > 40"))
+
+
+@Q.query("SELECT l_orderkey, l_linenumber, o_custkey, c_mktsegment FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey")
+def asserted_join_all(spark, d):
+    """Every row of lineitem; ``asserted_join`` takes quantities over 40 only."""
+    return _asserted(spark, d, table(spark, d, "lineitem"))
+
+
+def _asserted(spark, d, li):
+    li = li.withColumnRenamed("l_orderkey", "o_orderkey")
     j = joins.asserted_join(li, table(spark, d, "orders"), ["o_orderkey"])
     j = joins.asserted_join(j.withColumnRenamed("o_custkey", "c_custkey"), table(spark, d, "customer"), ["c_custkey"])
     return j.select(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber", F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
