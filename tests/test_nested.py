@@ -115,3 +115,10 @@ def test_against_brute_force(spark, data):
     want = set().union(*map(brute, df.select("idweb", "donnees", "cpv_codes_json").collect()))
     got = [tuple(r) for r in notice_rows(df).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+
+
+def test_an_award_of_several_lots_gives_its_tenderers_to_each():
+    lots = {(1,): {"label": ["1"]}, (2,): {"label": ["2"]}, (3,): {"label": ["3"]}}
+    tables = {"company": {}, "lot": lots, "award": {(1,): {"label": ["1", "3", "3"], "tenderer": ["A", "B"]}, (2,): {"label": ["2"], "tenderer": ["C"]}}}
+    got = {(o, i, x) for o, entity, i, x in notice_items(tables, None) if entity == "tenderer"}
+    assert got == {(1, 1, "A"), (1, 2, "B"), (2, 1, "C"), (3, 1, "A"), (3, 2, "B")}

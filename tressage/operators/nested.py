@@ -182,8 +182,7 @@ def notice_items(tables: dict, codes_json: str | None) -> list[tuple[int, str, i
             tenderers.setdefault(o, []).extend(row["tenderer"])
     for row in tables["award"].values():
         found = [*row.get("tenderer", ()), *[names.get(_label(p)) for p in row.get("pointer", ())]]
-        for label in row.get("label", [None])[:1]:
-            o = place.get(_label(label)) if label is not None else (1 if len(lots) == 1 else None)
+        for o in dict.fromkeys(place.get(_label(label)) if label is not None else (1 if len(lots) == 1 else None) for label in row.get("label", [None])):
             if o is not None:
                 tenderers.setdefault(o, []).extend(found)
     for o, found in tenderers.items():
