@@ -1,8 +1,17 @@
+import re
+import sys
+import time
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tressage.operators import cells
 from tressage.operators.cells import UNCLOSED_BRACKET, UNCLOSED_QUOTE, parse_cell, split_cells
 
+#: Every character that is white space to the standard library, less those that end or move a line.
+UNICODE_BLANKS = [chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace() and chr(i) not in "\t\n\r\x0b\x0c"]
+
 
 def items(cell):
     return [p.item for p in parse_cell(cell)]
@@ -65,3 +74,31 @@ def test_split_cells(spark):
     assert split_cells(df.limit(0), "k", ["f", "flags"]).count() == 0
     singles = split_cells(df, "k", ["f"], several_only=False)
     assert ("c", "f", 1, "7") in [tuple(r)[:4] for r in singles.collect()]
+
+
+def test_every_unicode_blank_sets_a_word_off(spark):
+    assert set(UNICODE_BLANKS) < set(cells.BLANKS) and len(UNICODE_BLANKS) > 20
+    rows = [(f"{ord(b):x}{w}", f"44{b}{w}{b}35") for b in cells.BLANKS for w in (*cells.WORDS, *cells.DASHES)]
+    for _, cell in rows:
+        assert items(cell) == ["44", "35"], ascii(cell)
+    got = split_cells(spark.createDataFrame(rows, "k string, f string"), "k", ["f"])
+    assert got.count() == 2 * len(rows)
+
+
+@pytest.mark.parametrize("run", [" ", "\u00a0", "\t", "\x0b", " \x0b", "- ", "\u3000\u200b"])
+def test_runs_of_white_space_are_linear(run):
+    def seconds(n):
+        cell, began = "a" + run * n + "b", time.perf_counter()
+        parse_cell.__wrapped__(cell)
+        return time.perf_counter() - began
+
+    assert seconds(100_000) < 20 * max(seconds(10_000), 0.02)
+    if run in (" ", "\u00a0"):
+        assert min(seconds(100_000) for _ in range(3)) < 0.1
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["et", " ", "\u00a0", "\u202f", "\t", "\x0b", "a", "é", ",", "/", "-", '"', "'", "[", "]", "{", "}", "&", "\r\n", "ET"]), max_size=14).map("".join))
+def test_nothing_that_splits_is_filtered(cell):
+    if sum(p.item is not None for p in parse_cell(cell)) > 1:
+        assert re.search(cells._MAY_SPLIT, cell)
