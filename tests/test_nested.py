@@ -1,6 +1,11 @@
 import json
 
-from tressage.functions.jsonwalk import Numeral, PathNode, parse_complete, scalar_type, triples
+import time
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tressage.functions.jsonwalk import Numeral, PathNode, ordinal, places, scalar_type, triples
 from tressage.operators.nested import NOTICE_TABLES, Flattener, TableSpec, flatten, notice_items, notice_rows
 
 EFORMS = {"EFORMS": {"ContractAwardNotice": {
@@ -37,18 +42,72 @@ def test_code_shapes():
         assert [r[3] for r in found(None, shape)] == want, shape
 
 
-def test_triples_round_trip():
-    value = {"a": [{"b": 1, "c": [True, None]}, {"b": "x"}], "d": {}}
-    got = [(n.text, v, [i for _, i in o]) for n, v, o in triples(value, PathNode())]
-    assert got == [("a.b", 1, [1]), ("a.c", True, [1, 1]), ("a.c", None, [1, 2]), ("a.b", "x", [2])]
-    deep = parse_complete('{"a":' * 500 + "1" + "}" * 500)
-    assert sum(1 for _ in triples(deep, PathNode())) == 1
-    assert parse_complete("{" * 5) is None and parse_complete('{"a":1.50}', numerals=True) == {"a": "1.50"}
+def walked(value, path=(), ords=()):
+    """The triples of a value that the standard parser built, paths as keys and ordinals as (path, place)."""
+    if isinstance(value, dict):
+        return [t for k, v in value.items() for t in walked(v, (*path, k), ords)]
+    if isinstance(value, list):
+        return [t for i, v in enumerate(value, 1) for t in walked(v, path, (*ords, (path, i)))]
+    return [(path, value, ords)]
+
+
+def keys(node):
+    return tuple(n.key for n in node.up())[::-1]
+
+
+def streamed(text):
+    found = triples(text, PathNode())
+    return found if found is None else [(keys(n), v, tuple((keys(m), i) for m, i in places(o))) for n, v, o in found]
+
+
+def parsed(text):
+    value = text
+    while isinstance(value, str) and not isinstance(value, Numeral):
+        try:
+            value = json.loads(value.lstrip("\ufeff"), parse_int=Numeral, parse_float=Numeral, parse_constant=Numeral)
+        except ValueError:
+            return None
+    return walked(value) if isinstance(value, (dict, list)) else None
+
+
+json_values = st.recursive(st.none() | st.booleans() | st.integers() | st.floats() | st.text(max_size=6), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=4), x, max_size=4), max_leaves=20)
+
+
+@settings(max_examples=500, deadline=None)
+@given(json_values, st.sampled_from([None, 1]), st.booleans(), st.integers(0, 2), st.floats(0, 1), st.sampled_from(["", '"', "{", "}", "]", ",", ":", "x", "\\", "\n"]), st.integers(0, 1))
+def test_streaming_equals_the_standard_parser_also_on_damage(value, indent, ascii_only, wraps, where, put, cut):
+    text = json.dumps(value, indent=indent, ensure_ascii=ascii_only)
+    for _ in range(wraps):
+        text = json.dumps(text)
+    at = int(where * len(text))
+    for t in (text, text[:at] + put + text[at + cut :]):
+        assert streamed(t) == parsed(t)
+
+
+def test_streaming_any_depth_and_any_number_of_encodings():
+    n = 100_000
+    deep = '{"a":[' * n + '"x"' + "]}" * n
+    began = time.perf_counter()
+    ((node, v, ords),) = triples(deep, PathNode())
+    assert v == "x" and sum(1 for _ in node.up()) == n and ordinal(ords, node) == 1 and time.perf_counter() - began < 30
+    assert triples(deep[:-1], PathNode()) is None and triples("[" * n, PathNode()) is None
+    text = '{"a":1.50}'
+    for _ in range(12):
+        text = json.dumps(text)
+    assert streamed(text) == [(("a",), "1.50", ())]
+    assert streamed('{"a":1,"a":[2,{"b":3}]}') == [(("a",), "1", ()), (("a",), "2", ((("a",), 1),)), (("a", "b"), "3", ((("a",), 2),))]
     assert [scalar_type(v) for v in (None, "x", Numeral("1"), True, 2.5)] == [0, 1, 2, 4, 2]
 
 
+def test_a_record_of_many_levels_gives_its_rows():
+    n = 100_000
+    lot = '{"lot":[{"numLot":7,"cpv":{"code":"12345678"}},{"numLot":8,"cpv":"23456789"}]}'
+    got = found('{"MAPA":' + '{"x":' * n + '{"lots":' + lot + "}" + "}" * n + "}")
+    assert got == [(1, "cpv", 1, "12345678"), (2, "cpv", 1, "23456789")]
+
+
 def test_flatten_links_children(spark):
-    specs = (TableSpec("parent", r"p", {"name": r"n"}), TableSpec("child", r"p\.c", {"v": r"v"}, parents=(r"p",)))
+    specs = (TableSpec("parent", "p", {"name": "n"}), TableSpec("child", "p.c", {"v": "v"}, parents=("p",)))
     df = spark.createDataFrame([(1, '{"p":[{"n":"a","c":[{"v":1},{"v":2}]},{"n":"b","c":{"v":3}}]}'), (2, None), (3, "{")], "id long, j string")
     got = sorted((r.id, r.table_name, tuple(r.ordinals), tuple(sorted(r.fields.items()))) for r in flatten(df, "id", "j", specs).collect())
     assert [g[:3] for g in got] == [(1, "child", (1, 1)), (1, "child", (1, 2)), (1, "child", (2, 1)), (1, "parent", (1,)), (1, "parent", (2,))]

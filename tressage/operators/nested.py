@@ -1,15 +1,16 @@
 """Deeply nested records into related flat tables with parent and child links.
 
-Each record is streamed as (path, value, ordinals) triples (:mod:`tressage.functions.jsonwalk`).  A
-:class:`TableSpec` names a repeated ancestor by the end of its path; triples below it are grouped by the ordinals
+Each record is streamed as (path, value, ordinals) triples (:mod:`tressage.functions.jsonwalk`); the object itself is
+never built.  A :class:`TableSpec` names a repeated ancestor by its path; triples below it are grouped by the ordinals
 of that ancestor and of the repeated ancestors above it, and pivoted into one row a group: the link to the parent
 row is the parent's ordinals.  An object where other records have a list counts as a list of one.
 
 Everything happens within the record, so flattening takes no shuffle; only telling repeated deliveries
-apart does.  Paths are resolved once a task, not once a record.
+apart does.  Paths are resolved once a task, not once a record, each from the path above it.
 
-Defined results: null, damaged or incomplete JSON gives no rows; a JSON text encoded again as a string is
-unwrapped; null values are absent; unknown paths are ignored; records may be of any depth and length.
+Defined results: null, damaged or incomplete JSON gives no rows; a JSON text encoded again as a string, however often,
+is unwrapped; null values are absent; unknown paths are ignored; a key that comes twice in an object counts twice;
+records may be of any depth and length.
 """
 
 from __future__ import annotations
@@ -20,63 +21,97 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonwalk import PathNode, parse_complete, triples
+from ..functions.jsonwalk import Numeral, PathNode, ordinal, stream, triples
+from ..functions.text import CODE
 from ..runtime import python_rows
 
 
 class TableSpec(NamedTuple):
-    """A flat table: rows are the occurrences of ``ancestor``, columns the scalars at relative paths.
+    """A flat table: rows are the occurrences of ``ancestor``, columns the scalars at paths relative to it.
 
-    ``ancestor`` and the values of ``columns`` are regular expressions over dotted paths; ``parents`` are the
-    repeated ancestors above it, outermost first, whose ordinals link a row to its parent's row.
+    Paths are keys joined by dots; ``*`` stands for any one key and ``**`` for any number of them; several paths may be
+    given.  ``parents`` are the repeated ancestors above, outermost first, whose ordinals link a row to its parent's row.
     """
 
     name: str
-    ancestor: str
-    columns: dict[str, str]
+    ancestor: str | tuple[str, ...]
+    columns: dict[str, str | tuple[str, ...]]
     parents: tuple[str, ...] = ()
 
 
+class Paths:
+    """A set of paths that is matched key by key: a state is the places reached so far in each of them."""
+
+    def __init__(self, paths: str | tuple[str, ...]):
+        self.paths = [tuple(p.split(".")) if p else () for p in ((paths,) if isinstance(paths, str) else paths)]
+        self.start = self._open({(i, 0) for i in range(len(self.paths))})
+
+    def _open(self, places: set) -> frozenset:
+        out, todo = set(), list(places)
+        while todo:
+            i, k = todo.pop()
+            out.add((i, k))
+            if k < len(self.paths[i]) and self.paths[i][k] == "**":
+                todo.append((i, k + 1))
+        return frozenset(out)
+
+    def step(self, state: frozenset, key: str) -> frozenset:
+        if not state:
+            return state
+        out = set()
+        for i, k in state:
+            want = self.paths[i][k] if k < len(self.paths[i]) else None
+            if want == "**":
+                out.add((i, k))
+            elif want is not None and want in ("*", key):
+                out.add((i, k + 1))
+        return self._open(out)
+
+    def met(self, state: frozenset) -> bool:
+        return any(k == len(self.paths[i]) for i, k in state)
+
+
 class Flattener:
     """Pivots triples into the tables of the specs; one a task, as it keeps the path tree."""
 
     def __init__(self, specs: tuple[TableSpec, ...]):
-        self.specs = [(s, re.compile(s.ancestor), [re.compile(p) for p in s.parents], {c: re.compile(p) for c, p in s.columns.items()}) for s in specs]
+        self.specs = [(s.name, Paths(s.ancestor), tuple(map(Paths, s.parents)), {c: Paths(p) for c, p in s.columns.items()}) for s in specs]
         self.root = PathNode()
-
-    def _role(self, node: PathNode) -> tuple:
-        """For a path: (table, column, the nodes of the repeated ancestors outermost first) for each spec it feeds."""
-        roles, chain = [], []
-        n = node
-        while n is not None:
-            chain.append(n)
-            n = n.parent
-        for spec, ancestor, parents, columns in self.specs:
-            for at in chain:
-                if ancestor.fullmatch(at.text):
-                    rest = node.text[len(at.text) + 1 :] if node is not at else ""
-                    for column, pattern in columns.items():
-                        if pattern.fullmatch(rest):
-                            above = [next((x for x in chain if p.fullmatch(x.text)), None) for p in parents]
-                            roles.append((spec.name, column, (*[x for x in above if x is not None], at)))
-                    break
-        return tuple(roles)
+        self.root.role = ((), tuple((a.start, tuple((p.start, None) for p in ps), (), None) for _, a, ps, _ in self.specs))
+
+    def _below(self, node: PathNode, above: tuple) -> tuple:
+        """The role of a path from that of the path above it: (table, column, nodes of the repeated ancestors outermost
+        first) for each table it feeds, and what its own children need."""
+        feeds, states = [], []
+        for (name, ancestor, parents, columns), (state, ups, inside, chain) in zip(self.specs, above):
+            state = ancestor.step(state, node.key)
+            ups = tuple((t := p.step(q, node.key), node if p.met(t) else n) for p, (q, n) in zip(parents, ups))
+            if ancestor.met(state):
+                inside, chain = tuple(p.start for p in columns.values()), (*[n for _, n in ups if n is not None and n is not node], node)
+            elif inside:
+                inside = tuple(p.step(q, node.key) for p, q in zip(columns.values(), inside))
+            feeds += [(name, c, chain) for (c, p), q in zip(columns.items(), inside) if p.met(q)]
+            states.append((state, ups, inside, chain))
+        return tuple(feeds), tuple(states)
+
+    def _feeds(self, node: PathNode) -> tuple:
+        todo = []
+        while node.role is None:
+            todo.append(node)
+            node = node.parent
+        role = node.role
+        for node in reversed(todo):
+            role = node.role = self._below(node, role[1])
+        return role[0]
 
     def tables(self, text: str | None) -> dict[str, dict[tuple[int, ...], dict[str, list]]]:
         """table -> ordinals of the row (the parents' first) -> column -> values in document order."""
-        value = parse_complete(text)
-        out: dict[str, dict] = {s.name: {} for s, *_ in self.specs}
-        if value is None:
-            return out
-        for node, v, ords in triples(value, self.root):
+        out: dict[str, dict] = {name: {} for name, *_ in self.specs}
+        for node, v, ords in triples(text, self.root) or ():
             if v is None:
                 continue
-            roles = node.role
-            if roles is None:
-                roles = node.role = self._role(node)
-            for name, column, above in roles:
-                at = dict(ords)
-                key = tuple([at.get(a, 1) for a in above])
+            for name, column, above in (node.role or (self._feeds(node),))[0]:
+                key = tuple([ordinal(ords, a) for a in above])
                 out[name].setdefault(key, {}).setdefault(column, []).append(v)
         return out
 
@@ -107,37 +142,41 @@ def flatten(df: DataFrame, key: str, payload: str, specs: tuple[TableSpec, ...])
 
 # --- procurement notices ---------------------------------------------------------------------------------------
 
-_CPV_CODE = r"cbc:ItemClassificationCode(?:\.#text)?"
-_EFORMS = r"EFORMS\.[^.]+"
-_FORM = r"(?:FNSimple|MAPA|DIVERS)(?:\.[^.]+)*?\.lots\.lot"
+def _or_text(*paths: str) -> tuple[str, ...]:
+    """Paths whose scalar may stand in an object beside its attributes."""
+    return tuple(x for p in paths for x in (p, f"{p}.#text"))
+
+
+_CPV_CODE = "cbc:ItemClassificationCode"
+_ORGANIZATION = "EFORMS.*.**.efac:Organizations.efac:Organization"
 
 #: The five layouts: where lots, their codes and tenderers stand, and the tables that pointers lead to.
 NOTICE_TABLES = (
-    TableSpec("lot", rf"{_EFORMS}\.cac:ProcurementProjectLot|{_FORM}|OBJET\.LOTS\.LOT", {
-        "label": r"cbc:ID(?:\.#text)?|numLot|NUM",
-        "main": rf"cac:ProcurementProject\.cac:MainCommodityClassification\.{_CPV_CODE}|cpv\.principal|CPV\.PRINCIPAL",
-        "further": rf"cac:ProcurementProject\.cac:AdditionalCommodityClassification\.{_CPV_CODE}|cpv\.additionnel|CPV\.SUPPLEMENTAIRE|cpv\.code|cpv|CPV",
-        "tenderer": r"attribution\.titulaire(?:\.nom)?",
+    TableSpec("lot", ("EFORMS.*.cac:ProcurementProjectLot", "FNSimple.**.lots.lot", "MAPA.**.lots.lot", "DIVERS.**.lots.lot", "OBJET.LOTS.LOT"), {
+        "label": (*_or_text("cbc:ID"), "numLot", "NUM"),
+        "main": (*_or_text(f"cac:ProcurementProject.cac:MainCommodityClassification.{_CPV_CODE}"), "cpv.principal", "CPV.PRINCIPAL"),
+        "further": (*_or_text(f"cac:ProcurementProject.cac:AdditionalCommodityClassification.{_CPV_CODE}"), "cpv.additionnel", "CPV.SUPPLEMENTAIRE", "cpv.code", "cpv", "CPV"),
+        "tenderer": ("attribution.titulaire", "attribution.titulaire.nom"),
     }),
-    TableSpec("award", rf"{_EFORMS}\..*efac:NoticeResult\.efac:LotResult|ATTRIBUTION\.DECISION", {
-        "label": r"efac:TenderLot\.cbc:ID(?:\.#text)?|NUM_LOT",
-        "pointer": r"efac:TenderingParty\.efac:Tenderer\.cbc:ID(?:\.#text)?",
-        "tenderer": r"TITULAIRE(?:\.DENOMINATION)?",
+    TableSpec("award", ("EFORMS.*.**.efac:NoticeResult.efac:LotResult", "ATTRIBUTION.DECISION"), {
+        "label": (*_or_text("efac:TenderLot.cbc:ID"), "NUM_LOT"),
+        "pointer": _or_text("efac:TenderingParty.efac:Tenderer.cbc:ID"),
+        "tenderer": ("TITULAIRE", "TITULAIRE.DENOMINATION"),
     }),
-    TableSpec("company", rf"{_EFORMS}\..*efac:Organizations\.efac:Organization\.efac:Company", {
-        "label": r"cac:PartyIdentification\.cbc:ID(?:\.#text)?",
-        "name": r"cac:PartyName\.cbc:Name(?:\.#text)?",
-    }, parents=(rf"{_EFORMS}\..*efac:Organizations\.efac:Organization",)),
+    TableSpec("company", f"{_ORGANIZATION}.efac:Company", {
+        "label": _or_text("cac:PartyIdentification.cbc:ID"),
+        "name": _or_text("cac:PartyName.cbc:Name"),
+    }, parents=(_ORGANIZATION,)),
 )
 
-_code = re.compile(r"(?<!\d)(\d{8})(?:-\d)?(?!\d)")
+_code = re.compile(CODE)
 
 
 def _codes(values) -> list[str]:
     """The eight digits of each code; a code that lost its leading zero as a number gets it back."""
     out = []
     for v in values:
-        m = _code.search(str(v).zfill(8) if isinstance(v, int) and not isinstance(v, bool) else str(v))
+        m = _code.search(v.zfill(8) if isinstance(v, Numeral) and v.isdigit() else str(v))
         if m:
             out.append(m.group(1))
     return out
@@ -152,16 +191,12 @@ def _notice_codes(text: str | None) -> list[str]:
     if not text or not text.strip():
         return []
     try:
-        import json
-
-        value = json.loads(text)
+        values = [v for _, v, _ in stream(text, PathNode())]
     except ValueError:
-        return _codes(_code.findall(text))
-    if isinstance(value, str) or (isinstance(value, int) and not isinstance(value, bool)):
-        return _codes(_code.findall(value) if isinstance(value, str) else [value])
-    if not isinstance(value, (dict, list)):
-        return []
-    return _codes([v for _, v, _ in triples(value, PathNode()) if v is not None and not isinstance(v, bool)])
+        return _code.findall(text)
+    if len(values) == 1 and isinstance(values[0], str) and not isinstance(values[0], Numeral):
+        return _code.findall(values[0])
+    return _codes([v for v in values if v is not None and not isinstance(v, bool)])
 
 
 def notice_items(tables: dict, codes_json: str | None) -> list[tuple[int, str, int, str]]:

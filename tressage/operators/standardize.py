@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.jsonwalk import PathNode, parse_complete, triples
+from ..functions.jsonwalk import PathNode, places, triples
 from ..runtime import python_rows
 
 _FIELDS = {
@@ -30,7 +30,7 @@ _FIELDS = {
     "months": r"(?i)(?:.*\.)?(?:duree_?mois|duree)",
     "amounts": r"(?i)(?:.*\.)?(?:valeur(?:Estimee)?|montant|cbc:EstimatedAmount(?:\.#text)?)",
 }
-_CPV = re.compile(r"(?<!\d)(\d{8})(?:-\d)?(?!\d)")
+_CPV = re.compile(text.CODE)
 MOST_AMOUNTS = 50
 
 
@@ -44,11 +44,11 @@ def _lists(df: DataFrame, key: str, payload: str) -> DataFrame:
             root.append(PathNode())
         out: dict[str, list] = {key: [], "layout": [], **{k: [] for k in patterns}}
         for k, body in zip(cols["_k"], cols["_p"]):
-            value = parse_complete(body)
+            found = triples(body, root[0])
             got: dict[str, list[str]] = {f: [] for f in patterns}
-            own: set[str] = set()
+            own: set[str | None] = set()
             parties: list[tuple] = []
-            for node, v, ords in triples(value, root[0]) if value is not None else ():
+            for node, v, ords in found or ():
                 if v is None:
                     continue
                 if node.role is None:
@@ -58,18 +58,18 @@ def _lists(df: DataFrame, key: str, payload: str) -> DataFrame:
                 if contracting:
                     own.add(s)
                 if label:
-                    parties.append((ords, s))
+                    parties.append((places(ords), s))
                 for f in fields:
                     if s and (f not in ("names", "identifiers", "postcodes") or not company):
                         got[f].append(s)
                     elif s:
-                        parties.append((ords, f, s))
+                        parties.append((places(ords), f, s))
             ids = {p[0]: p[1] for p in parties if len(p) == 2}
             for p in parties:  # organisations of a table count if they are a contracting party
-                if len(p) == 3 and any(ids.get(p[0][: len(i)], ids.get(i)) in own for i in ids if p[0][: len(i)] == i):
+                if len(p) == 3 and any(ids.get(p[0][:i]) in own for i in range(len(p[0]) + 1)):
                     got[p[1]].append(p[2])
             out[key].append(k)
-            out["layout"].append(next(iter(value), None) if isinstance(value, dict) else None)
+            out["layout"].append([*found[0][0].up()][-1].key if found and found[0][0].parent is not None else None)
             for f, vs in got.items():
                 vs = [c for x in vs for c in _CPV.findall(x.zfill(8) if x.isdigit() else x)] if f in ("codes", "principal") else vs
                 out[f].append(list(dict.fromkeys(vs)))
