@@ -114,14 +114,14 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame
     )
 
 
-def python_rows(df: DataFrame, kernel, schema: str) -> DataFrame:
+def python_rows(df: DataFrame, kernel, schema) -> DataFrame:
     """``mapInArrow`` with a kernel from dict of columns (lists) to dict of columns, one batch at a time."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     ship(df.sparkSession)
-    out = to_arrow_schema(StructType.fromDDL(schema))
+    out = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches):
         for b in batches:
