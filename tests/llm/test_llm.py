@@ -86,6 +86,25 @@ def test_components_of_chains_stars_and_noise(spark, cell_edges):
     assert got == brute_groups(pairs)
 
 
+def test_a_hub_with_a_fixed_share_of_all_links_is_split(spark, monkeypatch):
+    r = random.Random(5)
+    pairs = [(1, 2 + i) for i in range(900)] + [(2000 + r.randrange(400), 2000 + r.randrange(400)) for _ in range(600)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    real = components.local_union_find
+    log = spark.sparkContext.accumulator(0)
+
+    def counted(a, b, seed):
+        if len(a) > 130:
+            log.add(1)
+        return real(a, b, seed)
+
+    monkeypatch.setattr(components, "local_union_find", counted)
+    got = sorted((x.vertex, x.group) for x in components.connected_components(df, "a", "b", cell_edges=60).collect())
+    assert got == brute_groups(pairs) and log.value == 0
+    components.connected_components(df, "a", "b", cell_edges=2000).count()
+    assert log.value > 0  # the count does see what a task holds
+
+
 def test_components_of_nothing(spark):
     df = spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")
     assert components.connected_components(df, "a", "b").count() == 0
@@ -187,12 +206,28 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaked(c.limit(0), "doc_id", "text", e, "item_id", "passage").count() == 0
 
 
-def test_many_items_take_the_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BROADCAST_WINDOWS", 3)
-    text = "un deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize"
-    c = spark.createDataFrame([(1, "zéro " + text), (2, "rien")], "doc_id long, text string")
-    e = spark.createDataFrame([(9, text)], "item_id long, passage string")
-    assert list(map(tuple, leakage.leaked(c, "doc_id", "text", e, "item_id", "passage").collect())) == [(1, 9)]
+def test_many_items_and_names_take_the_joins(spark, monkeypatch):
+    r = random.Random(8)
+    vocabulary = "le conseil de Béziers verse Dupont 1 200 euros au lot 7 avant Martin terme fixé".split()
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(25))) for i in range(12)]
+    docs = [(d, " ".join([*r.choices(vocabulary, k=9), *items[d % 12][1].split()[d % 9 : d % 9 + 14], "fin"])) for d in range(40)] + [(99, None)]
+    c, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")
+
+    def results():
+        leaks = set(map(tuple, leakage.leaked(c, "doc_id", "text", e, "item_id", "passage").collect()))
+        other = set(map(tuple, leakage.reparameterised(c, "doc_id", "text", e, "item_id", "passage", size=5).collect()))
+        return leaks, other
+
+    want = results()
+    assert want[0] == brute_leaks(docs, items) and want[1]
+    from tressage import runtime
+
+    for bounds in ({"BROADCAST_ITEMS": 3}, {"BROADCAST_NAMES": 3}, {"BROADCAST_ITEMS": 3, "BROADCAST_NAMES": 0, "LEAST_BITS": 64, "MOST_BITS": 64}):
+        for k, v in bounds.items():
+            monkeypatch.setattr(leakage, k, v)
+        monkeypatch.setattr(runtime, "HOT_FLOOR", 2)
+        assert results() == want
+        monkeypatch.undo()
 
 
 def test_changed_slots_are_told_from_copies(spark):
@@ -205,7 +240,7 @@ def test_changed_slots_are_told_from_copies(spark):
 
 
 def brute_reparameterised(docs, items, n):
-    """Of texts without names and units: (doc, item) -> (windows, changed)."""
+    """Of texts without names and units: (doc, item) -> (windows, one_to_one)."""
     mark = lambda w: tuple("#" if any(c.isdigit() for c in x) else x for x in w)
     windows = lambda t: [tuple(t.split()[k : k + n]) for k in range(len(t.split()) - n + 1)]
     held = {(i, v) for i, t in items for v in windows(t)}
@@ -214,12 +249,12 @@ def brute_reparameterised(docs, items, n):
         for w in windows(t):
             best = {}
             for i, v in held:
-                to = set(zip(v, w))
-                if w not in copies and mark(v) == mark(w) and len(to) == len(set(v)):
-                    best[i] = max(best.get(i, 0), sum(a != b for a, b in to))
+                to = {(a, b) for a, b in zip(v, w) if any(c.isdigit() for c in a)}
+                if w not in copies and to and mark(v) == mark(w) and len(to) == len({a for a, _ in to}):
+                    best[i] = max(best.get(i, 0), int(len(to) == len({b for _, b in to})))
             for i, c in best.items():
                 k, m = out.get((d, i), (0, 0))
-                out[d, i] = (k + 1, max(m, c))
+                out[d, i] = (k + 1, m + c)
     return out
 
 
@@ -230,9 +265,10 @@ def test_every_item_of_a_template_is_tested(spark, monkeypatch):
     c, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")
     want = brute_reparameterised(docs, items, 6)
     assert (10, 2) in want and (10, 3) in want and (10, 1) not in want  # the smallest item alone would lose the document
+    assert want[10, 2] == (2, 0) and want[10, 3] == (2, 2)  # two values may become one, but not the other way round
     for most in (leakage.BROADCAST_ITEMS, 1):
         monkeypatch.setattr(leakage, "BROADCAST_ITEMS", most)
-        got = {(r.doc_id, r.item_id): (r.windows, r.changed) for r in leakage.reparameterised(c, "doc_id", "text", e, "item_id", "passage", size=6).collect()}
+        got = {(r.doc_id, r.item_id): (r.windows, r.one_to_one) for r in leakage.reparameterised(c, "doc_id", "text", e, "item_id", "passage", size=6).collect()}
         assert got == want
 
 

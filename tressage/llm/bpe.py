@@ -7,7 +7,7 @@ share is encoded once; a word's ids are read off by following states back to its
 linear in its length (times the longest token), also for words of a million bytes.
 
 The trie lives in a task and covers the words that task meets; it is cleared when it exceeds NODES nodes, which
-changes no result.  There is no shuffle: a document is encoded where it is read.  The vocabulary is a file of
+changes no result, as are the words and the pairs of tokens it remembers.  There is no shuffle: a document is encoded where it is read.  The vocabulary is a file of
 fixed size, sent to the executors as bytes.
 
 Defined results: an empty text and a null text both have an empty list of ids; strings of special tokens are
@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import base64
 import os
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODES, WORDS = 2_000_000, 300_000
+NODES, WORDS, PAIRS = 2_000_000, 300_000, 2_000_000
 #: How this family of vocabularies splits a text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -32,6 +33,12 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
 
 
+@lru_cache(2)
+def encoder(data: bytes) -> TrieEncoder:
+    """The encoder of a vocabulary file; a worker process keeps it from one task to the next."""
+    return TrieEncoder(read_ranks(data))
+
+
 class TrieEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         import regex
@@ -65,6 +72,8 @@ class TrieEncoder:
         key = (a, b)
         known = self.apart.get(key)
         if known is None:
+            if len(self.apart) > PAIRS:
+                self.apart.clear()
             known = self.apart[key] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
         return known
 
@@ -136,17 +145,15 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str | None = None) ->
     with open(vocabulary or default_vocabulary(), "rb") as f:
         sent = df.sparkSession.sparkContext.broadcast(f.read())
     kind = dict(df.dtypes)[key]
-    held: list[TrieEncoder] = []
 
     def run(batches):
         import pyarrow as pa
 
-        if not held:
-            held.append(TrieEncoder(read_ranks(sent.value)))
+        held = encoder(sent.value)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                ids = held[0].encode_batch(part.column(1).to_pylist())
+                ids = held.encode_batch(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
 
     return df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias("_t")).mapInArrow(run, f"`{key}` {kind}, ids array<int>")

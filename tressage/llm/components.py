@@ -1,7 +1,8 @@
 """Groups from pairwise matches: connected components on a two-dimensional grid of edge partitions.
 
 Vertices are hashed into B blocks; an edge lies in the cell of its pair of blocks, so a vertex touches the
-B cells of its row and column only, and the edges of the busiest vertex are spread over B cells.  A round:
+B cells of its row and column only, and the edges of the busiest vertex are spread over B cells.  A cell that still
+holds more than its share, because a vertex has a fixed share of all edges, is split by a hash of its edges.  A round:
 
 1. every cell runs a local union-find over its edges and reports, for each vertex it holds, the
    representative of its part of the cell;
@@ -11,7 +12,8 @@ B cells of its row and column only, and the edges of the busiest vertex are spre
 
 Representatives are chosen in an order that changes every round, so long chains shrink by a constant factor.
 The rounds end when all cells agree.  Labels then travel back down the rounds, and a group is named by its
-smallest member.  B grows with the square root of the edges, so a cell holds CELL_EDGES of them whatever the size.
+smallest member.  B grows with the square root of the edges and larger cells are split, so a task holds about
+CELL_EDGES of them whatever the size and however uneven the degrees.
 
 Each round is written to the shared folder; nothing but counts reaches the driver.  Joins on a
 representative that a third of all vertices may share go through :func:`tressage.runtime.skew_join`.
@@ -64,7 +66,7 @@ def local_union_find(a, b, seed: int):
     return ids, ids[order[parent[rank]]]
 
 
-def _stars(edges: DataFrame, blocks: int, seed: int) -> DataFrame:
+def _stars(edges: DataFrame, blocks: int, seed: int, cell_edges: int) -> DataFrame:
     block = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(seed)), F.lit(blocks))
     lo, hi = F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))
     cells = blocks * (blocks + 1) // 2
@@ -84,6 +86,19 @@ def _stars(edges: DataFrame, blocks: int, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 100_000]), pa.array(rep[i : i + 100_000])], names=["v", "rep"])
 
     placed = edges.select("a", "b", (hi * (hi + 1) / 2 + lo).cast("int").alias("cell"))
+    if blocks > 2:
+        # cells over their share: at most one in cell_edges edges, so the list is a millionth of the table
+        large = placed.groupBy("cell").count().where(F.col("count") > 2 * cell_edges).collect()
+        split, extra = [], cells
+        for r in large:
+            parts = math.ceil(r["count"] / cell_edges)
+            split.append((r["cell"], parts, extra))
+            extra += parts
+        if split:
+            sizes = edges.sparkSession.createDataFrame(split, "cell int, parts int, first int")
+            part = F.pmod(F.xxhash64("a", "b", F.lit(~seed)), F.col("parts")).cast("int")
+            placed = placed.join(F.broadcast(sizes), "cell", "left").select("a", "b", F.coalesce(F.col("first") + part, "cell").alias("cell"))
+            cells = extra
     return placed.repartitionById(cells, F.col("cell")).select("a", "b").mapInArrow(run, _OUT)
 
 
@@ -95,7 +110,7 @@ def connected_components(links: DataFrame, left: str, right: str, scratch: Scrat
     rounds: list[DataFrame] = []
     while n := edges.count():
         blocks = max(2, math.ceil(math.sqrt(2 * n / cell_edges)))
-        stars = _stars(edges, blocks, len(rounds))
+        stars = _stars(edges, blocks, len(rounds), cell_edges)
         kept = scratch.write(stars.groupBy("v").agg(F.min("rep").alias("parent"), F.collect_set("rep").alias("reps")), "parents")
         rounds.append(kept)
         rest = kept.where("size(reps) > 1").select("parent", F.explode("reps").alias("rep")).where("rep <> parent")
