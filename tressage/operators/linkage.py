@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import text as texts
 from ..functions.scores import AGREEING, CPV_LEVELS, TEXT_LEVELS, TIME_LEVELS, level, observed, wilson
 from ..runtime import Scratch
+from .similarity import GAP, window_pairs
 
 ANCHOR, CANDIDATE = "anchor_episode_id", "candidate_episode_id"
-#: The window between an award and a successor, in days, both ends included.
-GAP = (90, 2920)
 #: Fixed values of the gates of the weighted method.
 GATES = {"text": 0.25, "text_without_cpv": 0.55, "text_for_fuzzy": 0.40, "fuzzy_name": 0.82}
 STRONG = ("siren", "normalized_name")
@@ -30,68 +29,22 @@ def block_pairs(anchors: DataFrame, pool: DataFrame, keys: list[str], gap: tuple
     """Pairs of equal ``id``-distinct rows that share any of ``keys`` (non-blank) with gap[0] <= days <= gap[1].
 
     Both sides have ``id``, ``day`` and the keys.  One equi-join a key, united and made distinct: an OR in the join
-    condition would become a nested loop.  The day window and the conflict of identifiers (both there and
-    different) are residual conditions of each join, before anything is compared.
+    condition would become a nested loop.  Each is on the key and a bucket of days as wide as the window, so that a key
+    with a third of all rows is spread over its years; the conflict of identifiers (both there and different) is a
+    condition of the join, before anything is compared.
     """
     found = None
     for k in keys:
-        a = anchors.where(F.col(k).isNotNull() & (F.col(k) != "")).select(F.col(k).alias("_k"), F.col("id").alias("a_id"), F.col("day").alias("a_day"), *([F.col(identifier).alias("_ai")] if identifier else []))
-        b = pool.where(F.col(k).isNotNull() & (F.col(k) != "")).select(F.col(k).alias("_k"), F.col("id").alias("c_id"), F.col("day").alias("c_day"), *([F.col(identifier).alias("_bi")] if identifier else []))
-        days = F.datediff("c_day", "a_day")
-        ok = (F.col("a_id") != F.col("c_id")) & days.between(*gap)
+        here = F.col(k).isNotNull() & (F.col(k) != "") & F.col("day").isNotNull()
+        side = lambda rows, p: rows.where(here).select(F.col(k).alias("_k"), F.col("id").alias(f"{p}_id"), F.unix_date("day").alias(f"{p}_day"), *([F.coalesce(F.col(identifier), F.lit("")).alias(f"_{p}")] if identifier else []))  # noqa: E731, B023
+        one = window_pairs(side(anchors, "a"), side(pool, "c"), ["_k"], gap).where("a_id <> c_id")
         if identifier:
-            ok &= (F.coalesce("_ai", F.lit("")) == "") | (F.coalesce("_bi", F.lit("")) == "") | (F.col("_ai") == F.col("_bi"))
-        one = a.join(b, "_k").where(ok).select("a_id", "c_id", days.alias("gap_days"))
+            one = one.where("_a = '' or _c = '' or _a = _c")
+        one = one.select("a_id", "c_id", (F.col("c_day") - F.col("a_day")).alias("gap_days"))
         found = one if found is None else found.unionByName(one)
     return found.dropDuplicates(["a_id", "c_id"])
 
 
-def word_grams(x: Column) -> Column:
-    """Words of two characters or more, and pairs of neighbouring ones."""
-    w = F.regexp_extract_all(F.lower(x), F.lit(r"(?U)\w\w+"), F.lit(0))
-    pairs = F.transform(F.arrays_zip(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))).alias("a"), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))).alias("b")), lambda p: F.concat_ws(" ", p["a"], p["b"]))
-    return F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>")))
-
-
-def padded_grams(x: Column, least: int = 3, most: int = 5) -> Column:
-    """Character n-grams inside words padded by one blank on each side."""
-    words = F.filter(F.split(F.lower(x), r"(?U)\s+"), lambda w: w != "")
-
-    def grams(p, n):
-        cut = F.transform(F.sequence(F.lit(1), F.length(p) - n + 1), lambda i: F.substring(p, i, F.lit(n)))
-        return F.when(F.length(p) >= n, cut).otherwise(F.array().cast("array<string>"))
-
-    def of(w):
-        p = F.concat(F.lit(" "), w, F.lit(" "))
-        return F.concat(*[grams(p, n) for n in range(least, most + 1)])
-
-    return F.flatten(F.transform(words, of))
-
-
-def block_tfidf(pairs: DataFrame, docs: DataFrame, grams, scratch: Scratch | None = None) -> DataFrame:
-    """(a_id, c_id, similarity): cosine of tf-idf vectors, the corpus of an anchor being it and its candidates.
-
-    ``pairs`` (a_id, c_id), ``docs`` (id, text).  idf is ln((1 + n) / (1 + df)) + 1, tf raw, norm L2; 0 without shared
-    terms.  Terms are counted once a document, whatever the number of blocks it is in, and travel as 64-bit hashes.
-    """
-    scratch = scratch or Scratch(pairs.sparkSession, "tfidf")
-    terms = docs.select("id", F.explode(grams(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    pairs = scratch.write(pairs.select("a_id", "c_id").distinct(), "pairs")
-    corpus = pairs.select("a_id", F.col("c_id").alias("id")).unionByName(pairs.select("a_id", F.col("a_id").alias("id"))).distinct()
-    size = corpus.groupBy("a_id").agg(F.count(F.lit(1)).alias("n"))
-    bag = scratch.write(corpus.join(terms, "id").select("a_id", "id", F.xxhash64("term").alias("term"), "tf"), "bag")
-    df = bag.groupBy("a_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    v = bag.join(df, ["a_id", "term"]).join(size, "a_id").select("a_id", "id", "term", (F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0)).alias("w"))
-    v = scratch.write(v, "vectors")
-    scratch.drop(bag)
-    norm = v.groupBy("a_id", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    own = v.where("a_id = id").select("a_id", "term", F.col("w").alias("wa"))
-    dot = v.where("a_id <> id").join(own, ["a_id", "term"]).groupBy("a_id", "id").agg(F.sum(F.col("w") * F.col("wa")).alias("dot"))
-    sim = dot.join(norm, ["a_id", "id"]).join(norm.where("a_id = id").select("a_id", F.col("norm").alias("norm_a")), "a_id")
-    sim = sim.select("a_id", F.col("id").alias("c_id"), (F.col("dot") / (F.col("norm") * F.col("norm_a"))).alias("s"))
-    return pairs.join(sim, ["a_id", "c_id"], "left").select("a_id", "c_id", F.coalesce("s", F.lit(0.0)).alias("similarity"))
-
-
 def sequence_ratio(pairs: DataFrame, left: str, right: str, out: str = "ratio") -> DataFrame:
     """Adds the Ratcliff-Obershelp ratio of two texts; 0 if either is empty or null, 1 if they are equal."""
     from difflib import SequenceMatcher
@@ -151,6 +104,28 @@ def token_pairs(names: DataFrame, name: str, block: int = 500) -> DataFrame:
     return p.select("a_name", "b_name", "overlap", kept.alias("kept_by"))
 
 
+def token_overlaps(names: DataFrame, name: str, least: float = TOKEN_OVERLAP, block: int = 500, scratch: Scratch | None = None) -> DataFrame:
+    """(a_name, b_name, overlap): names, a_name < b_name, whose token sets have a Jaccard similarity of at least ``least``.
+
+    A prefix filter: of a name's tokens, rarest first, two such names share one among the first n - ceil(least * n) + 1,
+    so a common token joins the names that have little else only; none is left out.  The names of a token are split
+    into parts of about ``block``.
+    """
+    scratch = scratch or Scratch(names.sparkSession, "tokens")
+    n = names.select(F.col(name).alias("name")).where("name is not null").distinct().withColumn("tokens", texts.name_tokens(F.col("name")))
+    t = n.select("name", F.explode("tokens").alias("w"))
+    often = t.groupBy("w").agg(F.count(F.lit(1)).alias("k"))
+    rare = t.join(often, "w").groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "w"))), lambda x: x["w"]).alias("tokens"))
+    rare = scratch.write(rare.withColumn("prefix", F.slice("tokens", 1, (F.size("tokens") - F.ceil(F.size("tokens") * F.lit(least) - 1e-9) + 1).cast("int"))), "prefixes")
+    p = rare.select("name", "tokens", "prefix", F.explode("prefix").alias("w"))
+    p = p.join(p.groupBy("w").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("w", F.ceil(F.col("k") / block).cast("int").alias("parts")), "w")
+    side = lambda x, part: p.select("w", part.alias("part"), *[F.col(c).alias(f"{x}_{c}") for c in ("name", "tokens", "prefix")])
+    a, b = side("a", F.pmod(F.hash("name"), F.col("parts"))), side("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # at the first token that both prefixes hold only
+    met = a.join(b, ["w", "part"]).where((F.col("a_name") < F.col("b_name")) & (F.col("w") == F.element_at(F.array_intersect("a_prefix", "b_prefix"), 1)))
+    return met.select("a_name", "b_name", texts.jaccard(F.col("a_tokens"), F.col("b_tokens")).alias("overlap")).where(F.col("overlap") >= least)
+
+
 def ranked(rows: DataFrame, group: str, order: list[Column], out: str = "rank_no", scratch: Scratch | None = None) -> DataFrame:
     """Adds the rank from 1 of every row within its group, a hot group being ranked by many tasks.
 

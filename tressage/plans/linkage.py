@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import linkage as ops
+from ..operators import similarity
 from ..runtime import table
 from .registry import Registry
 
@@ -48,23 +49,26 @@ def candidate_rank_by_gap_all(spark, d):
     return ops.ranked(candidate_pairs_blocked(spark, d), "a_id", [F.abs(F.col("gap_days") - 1461), F.col("c_id")])
 
 
-@Q.query(r"""
-    WITH t AS (SELECT DISTINCT anchor_episode_id AS e, unnest(list_filter(string_split(trim(regexp_replace(strip_accents(lower(anchor_buyer_name)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) >= 4 AND NOT regexp_matches(x, '^[0-9]+$'))) AS w FROM candidate_pairs WHERE anchor_buyer_name IS NOT NULL),
-    f AS (SELECT w FROM t GROUP BY 1 HAVING count(*) <= 30)
-    SELECT DISTINCT a.e AS a_id, b.e AS b_id FROM t a JOIN f USING (w) JOIN t b ON b.w = a.w WHERE a.e < b.e""")
-def token_blocking_pairs(spark, d):
-    """Pairs that share a rare token (in at most 30 records); common tokens carry no evidence and make no pairs."""
-    p = table(spark, d, "candidate_pairs").where("anchor_buyer_name is not null").select(F.col("anchor_episode_id").alias("e"), "anchor_buyer_name").distinct()
-    t = p.select("e", F.explode(text.name_tokens(text.text_key(F.col("anchor_buyer_name")))).alias("w")).distinct()
-    t = t.join(t.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n <= 30").select("w"), "w")
-    return t.select(F.col("e").alias("a_id"), "w").join(t.select(F.col("e").alias("b_id"), "w"), "w").where("a_id < b_id").select("a_id", "b_id").distinct()
-
-
 def _names(spark, d):
     p = table(spark, d, "candidate_pairs").where("anchor_buyer_name is not null")
     return p.select(text.text_key(F.col("anchor_buyer_name")).alias("name"), F.col("anchor_episode_id").alias("episode_id"))
 
 
+@Q.query(r"""
+    WITH n AS (SELECT DISTINCT trim(regexp_replace(strip_accents(lower(anchor_buyer_name)), '[^a-z0-9]+', ' ', 'g')) AS name FROM candidate_pairs WHERE anchor_buyer_name IS NOT NULL),
+    s AS (SELECT name, list_distinct(list_filter(string_split(name, ' '), lambda x: length(x) >= 4 AND NOT regexp_matches(x, '^[0-9]+$'))) AS tokens FROM n),
+    t AS (SELECT name, unnest(tokens) AS w FROM s),
+    p AS (SELECT a.name AS a_name, b.name AS b_name, count(*) AS shared FROM t a JOIN t b ON a.w = b.w WHERE a.name < b.name GROUP BY 1, 2)
+    SELECT a_name, b_name, round(shared / (len(x.tokens) + len(y.tokens) - shared)::DOUBLE, 6) AS overlap FROM p JOIN s x ON x.name = a_name JOIN s y ON y.name = b_name
+    WHERE shared / (len(x.tokens) + len(y.tokens) - shared)::DOUBLE >= 0.34""")
+def token_blocking_pairs(spark, d):
+    """Buyer names whose tokens overlap by a Jaccard similarity of 0.34 or more, however frequent the tokens are.
+
+    The episodes of a name are in ``token_candidate_members``; copies are not expanded into pairs.
+    """
+    return ops.token_overlaps(_names(spark, d), "name").select("a_name", "b_name", F.round("overlap", 6).alias("overlap"))
+
+
 @Q.query()
 def token_candidates(spark, d):
     """Buyer names that share any token, however frequent, and pass the buyer test.
@@ -74,52 +78,51 @@ def token_candidates(spark, d):
     return ops.token_pairs(_names(spark, d), "name")
 
 
-@Q.query()
+@Q.query(r"""
+    SELECT DISTINCT name, episode_id FROM (SELECT trim(regexp_replace(strip_accents(lower(anchor_buyer_name)), '[^a-z0-9]+', ' ', 'g')) AS name, anchor_episode_id AS episode_id FROM candidate_pairs WHERE anchor_buyer_name IS NOT NULL)
+    WHERE len(list_filter(string_split(name, ' '), lambda x: length(x) >= 4 AND NOT regexp_matches(x, '^[0-9]+$'))) > 0""")
 def token_candidate_members(spark, d):
     """The episodes of each name of ``token_candidates``."""
     return _names(spark, d).where(F.size(text.name_tokens(F.col("name"))) > 0).distinct()
 
 
 def _texts(spark, d):
-    n = table(spark, d, "notices_engineered").where("objet is not null and objet <> ''").groupBy(F.col("idx").alias("id"), "idweb").agg(F.max("objet").alias("text"))
-    e = table(spark, d, "explicit_links").select(F.col("right_idx").alias("a_id"), text.trimmed(F.col("target_idweb")).alias("idweb")).distinct()
-    pairs = e.join(n.select("idweb", F.col("id").alias("c_id")), "idweb").join(n.select(F.col("id").alias("a_id")), "a_id", "left_semi").where("a_id <> c_id").select("a_id", "c_id").distinct()
-    return pairs, n.select("id", "text")
+    """Whole texts of a buyer as anchors and candidates, normalised as names are."""
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("buyer_key").alias("block"), F.to_date("published_on").alias("day"), text.text_key(F.col("text")).alias("text"))
+    return t
 
 
 _TFIDF = r"""
-    WITH n AS (SELECT idx AS id, idweb, max(objet) AS text FROM notices_engineered WHERE objet <> '' GROUP BY 1, 2),
-    pairs AS (SELECT DISTINCT a.id AS a_id, c.id AS c_id FROM explicit_links e JOIN n a ON a.id = e.right_idx JOIN n c ON c.idweb = regexp_replace(e.target_idweb, '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g') WHERE a.id <> c.id),
-    grams AS ({grams}),
-    terms AS (SELECT id, term, count(*) AS tf FROM grams GROUP BY 1, 2),
-    corpus AS (SELECT a_id, c_id AS id FROM pairs UNION SELECT a_id, a_id FROM pairs),
-    size AS (SELECT a_id, count(*) AS n FROM corpus GROUP BY 1),
-    bag AS (SELECT a_id, id, term, tf FROM corpus JOIN terms USING (id)),
-    df AS (SELECT a_id, term, count(*) AS df FROM bag GROUP BY 1, 2),
-    v AS (SELECT a_id, id, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS w FROM bag JOIN df USING (a_id, term) JOIN size USING (a_id)),
-    norm AS (SELECT a_id, id, sqrt(sum(w * w)) AS norm FROM v GROUP BY 1, 2),
-    dot AS (SELECT x.a_id, x.id, sum(x.w * y.w) AS dot FROM v x JOIN v y ON y.a_id = x.a_id AND y.term = x.term AND y.id = y.a_id WHERE x.id <> x.a_id GROUP BY 1, 2)
-    SELECT p.a_id, p.c_id, coalesce(round(dot / (c.norm * a.norm), 6), 0.0) AS similarity FROM pairs p LEFT JOIN dot ON dot.a_id = p.a_id AND dot.id = p.c_id LEFT JOIN norm c ON c.a_id = p.a_id AND c.id = p.c_id LEFT JOIN norm a ON a.a_id = p.a_id AND a.id = p.a_id"""
-_WORDS = r"SELECT id, unnest(list_concat(t, CASE WHEN len(t) > 1 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE []::VARCHAR[] END)) AS term FROM (SELECT id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS t FROM n)"
-_CHARS = r"SELECT id, substr(w, CAST(i AS INT), CAST(k AS INT)) AS term FROM (SELECT id, w, k, unnest(generate_series(1, length(w) - k + 1)) AS i FROM (SELECT id, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '[\s\x{A0}]+'), lambda x: x <> '')) || ' ' AS w FROM n), (SELECT unnest([3, 4, 5]) AS k) WHERE length(w) >= k)"
-
-
-@Q.query(_TFIDF.format(grams=_WORDS))
+    n{k} AS (SELECT doc_id AS id, buyer_key AS block, CAST(published_on AS DATE) AS day, trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')) AS text FROM documents WHERE buyer_key <> '' AND published_on IS NOT NULL),
+    pairs{k} AS (SELECT a.id AS a_id, c.id AS c_id FROM n{k} a JOIN n{k} c ON c.block = a.block WHERE a.id <> c.id AND date_diff('day', a.day, c.day) BETWEEN 90 AND 2920),
+    grams{k} AS ({grams}),
+    terms{k} AS (SELECT id, term, count(*) AS tf FROM grams{k} GROUP BY 1, 2),
+    corpus{k} AS (SELECT a_id, c_id AS id FROM pairs{k} UNION SELECT a_id, a_id FROM pairs{k}),
+    size{k} AS (SELECT a_id, count(*) AS n FROM corpus{k} GROUP BY 1),
+    bag{k} AS MATERIALIZED (SELECT a_id, id, term, tf FROM corpus{k} JOIN terms{k} USING (id)),
+    df{k} AS (SELECT a_id, term, count(*) AS df, max(tf) FILTER (id = a_id) AS own FROM bag{k} GROUP BY 1, 2),
+    w{k} AS (SELECT a_id, id, tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS w, coalesce(own, 0) * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS o FROM bag{k} JOIN df{k} USING (a_id, term) JOIN size{k} USING (a_id)),
+    sums{k} AS (SELECT a_id, id, sqrt(sum(w * w)) AS norm, sum(w * o) AS dot FROM w{k} GROUP BY 1, 2),
+    sim{k} AS (SELECT p.a_id, p.c_id, coalesce(round(c.dot / (c.norm * a.norm), 6), 0.0) AS similarity FROM pairs{k} p LEFT JOIN sums{k} c ON c.a_id = p.a_id AND c.id = p.c_id LEFT JOIN sums{k} a ON a.a_id = p.a_id AND a.id = p.a_id)"""
+_WORDS = r"SELECT id, unnest(list_concat(t, CASE WHEN len(t) > 1 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE []::VARCHAR[] END)) AS term FROM (SELECT id, list_filter(string_split(text, ' '), lambda x: length(x) >= 2) AS t FROM n_w)"
+_CHARS = r"SELECT id, substr(w, CAST(i AS INT), CAST(k AS INT)) AS term FROM (SELECT id, w, k, unnest(generate_series(1, length(w) - k + 1)) AS i FROM (SELECT id, ' ' || unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) || ' ' AS w FROM n_c), (SELECT unnest([3, 4, 5]) AS k) WHERE length(w) >= k)"
+_BY_WORD, _BY_CHAR = _TFIDF.format(k="_w", grams=_WORDS), _TFIDF.format(k="_c", grams=_CHARS)
+
+
+@Q.query(f"WITH {_BY_WORD} SELECT a_id, c_id, similarity FROM sim_w")
 def tfidf_word(spark, d):
-    return ops.block_tfidf(*_texts(spark, d), ops.word_grams).withColumn("similarity", F.round("similarity", 6))
+    return similarity.blocked_similarities(_texts(spark, d), kinds=["word"]).select("a_id", "c_id", F.round("word", 6).alias("similarity"))
 
 
-@Q.query(_TFIDF.format(grams=_CHARS))
+@Q.query(f"WITH {_BY_CHAR} SELECT a_id, c_id, similarity FROM sim_c")
 def tfidf_char_wb(spark, d):
-    return ops.block_tfidf(*_texts(spark, d), ops.padded_grams).withColumn("similarity", F.round("similarity", 6))
+    return similarity.blocked_similarities(_texts(spark, d), kinds=["char"]).select("a_id", "c_id", F.round("char", 6).alias("similarity"))
 
 
-@Q.query()
+@Q.query(f"WITH {_BY_WORD}, {_BY_CHAR} SELECT w.a_id, w.c_id, w.similarity AS word, c.similarity AS char, greatest(w.similarity, c.similarity) AS text_component FROM sim_w w JOIN sim_c c ON c.a_id = w.a_id AND c.c_id = w.c_id")
 def text_component(spark, d):
-    pairs, docs = _texts(spark, d)
-    a, b = ops.block_tfidf(pairs, docs, ops.word_grams), ops.block_tfidf(pairs, docs, ops.padded_grams)
-    j = a.withColumnRenamed("similarity", "word").join(b.withColumnRenamed("similarity", "char"), ["a_id", "c_id"])
-    return j.select("a_id", "c_id", "word", "char", F.greatest("word", "char").alias("text_component"))
+    s = similarity.blocked_similarities(_texts(spark, d)).select("a_id", "c_id", F.round("word", 6).alias("word"), F.round("char", 6).alias("char"))
+    return s.withColumn("text_component", F.greatest("word", "char"))
 
 
 @Q.query()
