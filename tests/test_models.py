@@ -69,7 +69,61 @@ def test_cox_recovers_a_planted_effect_and_its_score_is_zero(lives):
 
     assert abs(ll(b + eps) - ll(b - eps)) / (2 * eps) < 1e-3
     assert survival.logrank(df, "g")["p"] < 0.01
-    assert 0 <= survival.ph_test(df, ["x"], fit["beta"])[0]["p"] <= 1
+
+
+def test_cox_by_sums_in_spark_equals_the_one_on_the_driver(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(float(r.randrange(1, 30)), int(r.random() < 0.6), r.randrange(3), r.random() < 0.5) for _ in range(500)] + [(None, 1, 1, True), (2.0, None, 1, True)]
+    df = spark.createDataFrame([(t, e, a, int(b)) for t, e, a, b in rows], "t double, event int, a int, b int")
+    here = survival.cox(df, ["a", "b"])
+    monkeypatch.setattr(survival, "MOST_PATTERNS", 3)
+    there = survival.cox(df, ["a", "b"])
+    assert there["beta"] == pytest.approx(here["beta"], abs=1e-8) and there["loglik"] == pytest.approx(here["loglik"])
+    assert [x["se"] for x in there["rows"]] == pytest.approx([x["se"] for x in here["rows"]])
+    with pytest.raises(ValueError):
+        survival.ph_test(survival.patterns(df, ["a", "b"]), ["a", "b"], here["beta"])
+
+
+def test_ph_test_against_its_definition(lives):
+    rows, df = lives
+    b = survival.cox(df, ["x"])["beta"]["x"]
+    res = []
+    for t in sorted({r[2] for r in rows if r[3]}):
+        risk = [r for r in rows if r[2] >= t]
+        mean = sum(r[4] * math.exp(b * r[4]) for r in risk) / sum(math.exp(b * r[4]) for r in risk)
+        res += [(t, r[4] - mean) for r in rows if r[2] == t and r[3]]
+    rank = np.arange(1, len(res) + 1) - (len(res) + 1) / 2
+    times = np.array([t for t, _ in res])
+    rank = np.array([rank[times == t].mean() for t in times])
+    got = survival.ph_test(survival.patterns(df, ["x"]), ["x"], {"x": b})[0]
+    rho = np.corrcoef(rank, [v for _, v in res])[0, 1]
+    assert got["rho"] == pytest.approx(rho, abs=0.02) and got["p"] == pytest.approx(special.chi2_sf(got["rho"] ** 2 * len(res), 1))
+
+
+def test_running_sums_and_curves_go_by_ranges(spark):
+    from tressage.runtime import ranged, running
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(float(i % 37), i) for i in range(200)], "k double, i int").groupBy("k").agg(F.sum("i").alias("v"))
+    r = ranged(df, [F.asc("k")], Scratch(spark, "t"))
+    assert r.select("_range").distinct().count() > 1
+    v = {x.k: x.v for x in df.collect()}
+    got = {x.k: (x.up, x.down) for x in running(running(r, [F.asc("k")], {"up": F.col("v")}), [F.desc("k")], {"down": F.col("v")}, reverse=True).collect()}
+    assert got == {k: (sum(b for a, b in v.items() if a <= k), sum(b for a, b in v.items() if a >= k)) for k in v}
+    scored = spark.createDataFrame([(round(i / 7 % 1, 3), int(i % 3 == 0)) for i in range(90)], "s double, y int")
+    c = linkage.auc_ap(linkage.curve(scored, "y", "s")).first()
+    rows = [(x.s, x.y) for x in scored.collect()]
+    pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
+    assert c.roc_auc == pytest.approx(sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg), abs=1e-6)
+    with pytest.raises(ValueError):
+        linkage.curve(scored.where("y = 1"), "y", "s")
+
+
+def test_last_step_before_an_age(spark):
+    curve = spark.createDataFrame([("a", 1.0, 0.9), ("a", 3.0, 0.5), ("b", 2.0, 0.1)], "g string, t double, survival double")
+    rows = spark.createDataFrame([(1, "a", 0.5), (2, "a", 1.0), (3, "a", 2.5), (4, "b", 9.0), (5, "c", 1.0), (6, "a", 2.5), (7, "a", None)], "id int, g string, age double")
+    got = {r.id: (r.s0, r.s1) for r in survival.asof_steps(rows, curve, ["g"], "age", [0.0, 0.5]).collect()}
+    assert got == {1: (1.0, 0.9), 2: (0.9, 0.9), 3: (0.9, 0.5), 4: (0.1, 0.1), 5: (1.0, 1.0), 6: (0.9, 0.5)}
 
 
 def test_parametric_families_nest(lives):
@@ -89,6 +143,15 @@ def test_concordance_by_brute_force(lives):
                 tie += a[4] == b[4]
     r = survival.concordance(df.selectExpr("t", "event", "x as risk")).first()
     assert (r.concordant, r.discordant, r.tied) == (c, d, tie)
+    many = [(t, e, round(math.sin(i * 7.3), 2)) for i, _, t, e, _ in rows] + [(None, 1, 0.5)]
+    got = survival.concordance(df.sparkSession.createDataFrame(many, "t double, event int, risk double")).first()
+    c = d = tie = 0
+    for t, e, x in many[:-1]:
+        for u, f, y in many[:-1]:
+            if e and (u > t or (u == t and not f)):
+                c, d, tie = c + (x > y), d + (x < y), tie + (x == y)
+    assert (got.concordant, got.discordant, got.tied) == (c, d, tie)
+    assert survival.concordance(df.limit(0).selectExpr("t", "event", "x as risk")).first().c_index is None
 
 
 def test_breaks_and_regimes():
@@ -169,10 +232,10 @@ def test_top1_and_abstention(spark):
 
 def test_bootstrap_of_all_ages_equals_each_alone(spark, lives):
     _, df = lives
-    got = {(r.draw, r.age, r.horizon): r.probability for r in survival.bootstrap_conditionals(df, "id", [0.0, 4.0], [2.0, 5.0], draws=6).collect()}
+    got = {(r.draw, r.age, r.horizon): r.probability for r in survival.bootstrap_conditionals(df, [0.0, 4.0], [2.0, 5.0], draws=6).collect()}
     assert len(got) == 6 * 4
     for age, horizon in ((0.0, 5.0), (4.0, 2.0)):
-        for r in survival.bootstrap_conditional(df, "id", age, horizon, draws=6).collect():
+        for r in survival.bootstrap_conditional(df, age, horizon, draws=6).collect():
             assert r.probability == got[r.draw, age, horizon] and 0 < r.probability < 1
 
 

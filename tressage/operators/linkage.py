@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as texts
 from ..functions.scores import AGREEING, CPV_LEVELS, TEXT_LEVELS, TIME_LEVELS, level, observed, wilson
-from ..runtime import Scratch
+from ..runtime import Scratch, ranged, running
 from .similarity import GAP, window_pairs
 
 ANCHOR, CANDIDATE = "anchor_episode_id", "candidate_episode_id"
@@ -133,8 +133,7 @@ def ranked(rows: DataFrame, group: str, order: list[Column], out: str = "rank_no
     the one within group and range plus the group's rows in earlier ranges.
     """
     scratch = scratch or Scratch(rows.sparkSession, "ranked")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = scratch.write(rows.repartitionByRange(n, F.col(group), *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    r = ranged(rows, [F.col(group), *order], scratch)
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = r.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n")).select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = r.withColumn("_k", F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order)))
@@ -215,21 +214,30 @@ def sweep(pairs: DataFrame, truth: DataFrame, thresholds: range) -> DataFrame:
 def curve(scored: DataFrame, label: str, score: str) -> DataFrame:
     """(score, tp, fp, recall, precision, fpr) at each distinct score, highest first.
 
-    Counts are taken by score before anything is ordered; the running sums see distinct scores only.
+    Counts are taken by score before anything is ordered; the running sums go by ranges of scores (:func:`running`).
+    Raises ValueError where there are not both labels, as no curve exists then.
     """
+    scratch = Scratch(scored.sparkSession, "curve")
     g = scored.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = g.agg(F.sum("p").alias("P"), F.sum(F.col("n") - F.col("p")).alias("N"))
-    r = g.select("score", F.sum("p").over(w).alias("tp"), F.sum(F.col("n") - F.col("p")).over(w).alias("fp")).crossJoin(F.broadcast(t))
-    return r.select("score", "tp", "fp", (F.col("tp") / F.col("P")).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("fp") / F.col("N")).alias("fpr"))
+    g = ranged(g, [F.desc("score")], scratch)
+    t = g.agg(F.sum("p").alias("P"), F.sum(F.col("n") - F.col("p")).alias("N")).first()
+    if not t.P or not t.N:
+        raise ValueError("a curve needs both labels")
+    r = running(g, [F.desc("score")], {"tp": F.col("p"), "fp": F.col("n") - F.col("p")})
+    return r.select("score", "tp", "fp", (F.col("tp") / t.P).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("fp") / t.N).alias("fpr"), F.col("p"), F.col("n"))
 
 
 def auc_ap(points: DataFrame) -> DataFrame:
-    """Area under the ROC curve by trapezoids from (0, 0), and average precision by steps."""
-    w = Window.orderBy(F.desc("score"))
-    before = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0.0))
-    steps = points.select(((F.col("fpr") - before("fpr")) * (F.col("recall") + before("recall")) / 2).alias("area"), ((F.col("recall") - before("recall")) * F.col("precision")).alias("step"))
-    return steps.agg(F.round(F.sum("area"), 6).alias("roc_auc"), F.round(F.sum("step"), 6).alias("average_precision"))
+    """Area under the ROC curve by trapezoids from (0, 0), and average precision by steps.
+
+    A point knows how many rows have its score, so the step before it needs no look at its neighbour.
+    """
+    t = points.agg(F.max("tp").alias("_positives"), F.max("fp").alias("_negatives"))  # one row
+    j = points.crossJoin(F.broadcast(t))
+    neg = F.col("n") - F.col("p")
+    area = neg / F.col("_negatives") * (2 * F.col("tp") - F.col("p")) / F.col("_positives") / 2
+    step = F.col("p") / F.col("_positives") * F.col("precision")
+    return j.agg(F.round(F.sum(area), 6).alias("roc_auc"), F.round(F.sum(step), 6).alias("average_precision"))
 
 
 def stratified_ratio(rows: DataFrame, y: str, x: str, stratum: str, weight: str) -> DataFrame:

@@ -227,11 +227,11 @@ def buyer_match_types(spark, d):
 @Q.query()
 def univariate_screen(spark, d):
     """Each covariate alone and with the others, and whether its sign flips."""
-    x = lives._design(spark, d)
-    joint = {r["covariate"]: r for r in survival.cox(x, lives._COVARIATES)["rows"]}
+    p = survival.bounded(survival.patterns(lives._design(spark, d), lives._COVARIATES), survival.MOST_PATTERNS, "patterns").toPandas()
+    joint = {r["covariate"]: r for r in survival.cox_fit(p, lives._COVARIATES)["rows"]}
     rows = []
     for c in lives._COVARIATES:
-        alone = survival.cox(x, [c])["rows"][0]
+        alone = survival.cox_fit(p, [c])["rows"][0]
         rows.append((c, alone["coef"], alone["p"], joint[c]["coef"], joint[c]["p"], alone["coef"] * joint[c]["coef"] < 0))
     return spark.createDataFrame(rows, "covariate string, alone double, p_alone double, joint double, p_joint double, flips boolean")
 
@@ -239,11 +239,11 @@ def univariate_screen(spark, d):
 @Q.query()
 def arm_retest(spark, d):
     """The log-rank verdict and hazard ratios under several minimum gaps, and in how many arms each is significant."""
-    base = lives._design(spark, d).withColumn("event0", F.col("event"))
+    p = survival.bounded(survival.patterns(lives._design(spark, d), lives._COVARIATES), survival.MOST_PATTERNS, "patterns").toPandas()
     rows = []
     for arm, months in (("3m", 3.0), ("6m", 6.0), ("12m", 12.0), ("24m", 24.0)):
-        x = base.withColumn("event", F.when((F.col("event0") == 1) & (F.col("t") >= months), 1).otherwise(0))
-        rows += [(arm, r["covariate"], r["hazard_ratio"], r["p"]) for r in survival.cox(x, lives._COVARIATES)["rows"]]
+        x = p.assign(event=((p.event == 1) & (p.t >= months)).astype(int))
+        rows += [(arm, r["covariate"], r["hazard_ratio"], r["p"]) for r in survival.cox_fit(x, lives._COVARIATES)["rows"]]
     g = spark.createDataFrame(rows, "arm string, covariate string, hr double, p double").groupBy("covariate")
     out = g.agg(F.count_if(F.col("p") < 0.05).alias("significant"), F.count_distinct(F.col("hr") > 1).alias("directions"), F.min("hr").alias("least"), F.max("hr").alias("most"))
     return out.withColumn("verdict", F.when((F.col("directions") == 1) & (F.col("significant") == 4), "ROBUST").when((F.col("directions") == 1) & (F.col("significant") >= 2), "MOSTLY_ROBUST").otherwise("LINKAGE_SENSITIVE"))

@@ -137,10 +137,9 @@ def arm_sensitivity(spark, d):
 def watchlist(spark, d):
     """Censored awards by the chance of an event within a year, given the segment's curve at their age."""
     s = dataset(spark, d)
-    curve = ops.life_table(s, ["segment"]).groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("t", "survival"))).alias("km"))
-    c = s.where("event = 0 and award_year >= 2000").select("id", "segment", (F.col("to_cutoff") / 30.4375).alias("age")).join(curve, "segment")
-    at = lambda x: F.coalesce(F.array_min(F.transform(F.filter("km", lambda k: k["t"] <= x), lambda k: k["survival"])), F.lit(1.0))
-    p = c.select("id", "segment", at(F.col("age")).alias("now"), at(F.col("age") + 12).alias("later")).where("now > 0").withColumn("probability", F.round(1 - F.col("later") / F.col("now"), 6))
+    c = s.where("event = 0 and award_year >= 2000").select("id", "segment", (F.col("to_cutoff") / 30.4375).alias("age"))
+    p = ops.asof_steps(c, ops.life_table(s, ["segment"]), ["segment"], "age", [0.0, 12.0])
+    p = p.where("s0 > 0").withColumn("probability", F.round(1 - F.col("s1") / F.col("s0"), 6))
     w = Window.partitionBy("segment").orderBy(F.desc("probability"), "id")
     return p.withColumn("rank_no", F.row_number().over(w)).where("rank_no <= 5").select("id", "segment", "probability", "rank_no")
 
@@ -180,8 +179,8 @@ def cox(spark, d):
 
 @Q.query()
 def ph_test(spark, d):
-    x = _design(spark, d)
-    rows = ops.ph_test(x, _COVARIATES, ops.cox(x, _COVARIATES)["beta"])
+    p = ops.patterns(_design(spark, d), _COVARIATES)
+    rows = ops.ph_test(p, _COVARIATES, ops.cox_fit(p, _COVARIATES)["beta"])
     return spark.createDataFrame([(r["covariate"], r["rho"], r["chi2"], r["p"]) for r in rows], "covariate string, rho double, chi2 double, p double")
 
 
@@ -193,5 +192,5 @@ def parametric(spark, d):
 
 @Q.query()
 def km_bootstrap(spark, d):
-    b = ops.bootstrap_conditionals(dataset(spark, d), "id", [0.0, 12.0, 24.0, 36.0, 48.0], [12.0, 24.0])
+    b = ops.bootstrap_conditionals(dataset(spark, d), [0.0, 12.0, 24.0, 36.0, 48.0], [12.0, 24.0])
     return b.groupBy("age", "horizon").agg(F.count(F.lit(1)).alias("draws"), F.percentile("probability", F.lit(0.025)).alias("low"), F.percentile("probability", F.lit(0.5)).alias("median"), F.percentile("probability", F.lit(0.975)).alias("high"))

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than one row in HOT_SHARE, so there are at most HOT_SHARE hot keys
@@ -114,6 +114,28 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame
     )
 
 
+def ranged(rows: DataFrame, order: list[Column], scratch: Scratch) -> DataFrame:
+    """``rows`` sorted into ranges of ``order`` by many tasks and written with ``_range``, the number of the range."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return scratch.write(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def running(ranges: DataFrame, order: list[Column], sums: dict[str, Column], reverse: bool = False) -> DataFrame:
+    """Adds to rows of :func:`ranged` the running sums over all rows in ``order``, no task seeing more than a range.
+
+    A running sum is the one within the range plus the totals of the ranges before it, of which there are as many as
+    shuffle partitions.  Ties are in one range and are summed row by row, so order must be total for exact ties.
+    ``reverse``: ``order`` runs against the order of the ranges.
+    """
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turn = F.desc("_range") if reverse else F.asc("_range")
+    before = Window.partitionBy(F.lit(1)).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    totals = ranges.groupBy("_range").agg(*[F.sum(c).alias(f"_{o}") for o, c in sums.items()])
+    totals = totals.select("_range", *[F.coalesce(F.sum(f"_{o}").over(before), F.lit(0)).alias(f"_{o}") for o in sums])
+    j = ranges.withColumns({o: F.sum(c).over(within) for o, c in sums.items()}).join(F.broadcast(totals), "_range")
+    return j.select(*ranges.columns, *[(F.col(o) + F.col(f"_{o}")).alias(o) for o in sums])
+
+
 def python_rows(df: DataFrame, kernel, schema) -> DataFrame:
     """``mapInArrow`` with a kernel from dict of columns (lists) to dict of columns, one batch at a time."""
     import pyarrow as pa
