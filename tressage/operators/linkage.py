@@ -244,9 +244,11 @@ def stratified_ratio(rows: DataFrame, y: str, x: str, stratum: str, weight: str)
     """The ratio of two weighted totals with its linearised standard error and a clipped 95 % interval.
 
     Strata of fewer than two rows add no variance; a finite-population factor comes from the weights; a total of 0
-    gives null.
+    gives null.  Raises ValueError where a row has no weight.
     """
     r = rows.select(F.col(stratum).alias("h"), F.coalesce(F.col(y).cast("double"), F.lit(0.0)).alias("y"), F.coalesce(F.col(x).cast("double"), F.lit(0.0)).alias("x"), F.col(weight).cast("double").alias("w"))
+    if bare := r.agg(F.count_if(F.col("w").isNull() | F.isnan("w"))).first()[0]:
+        raise ValueError(f"{bare} rows without a weight")
     t = r.agg(F.sum(F.col("w") * F.col("y")).alias("ty"), F.sum(F.col("w") * F.col("x")).alias("tx"), F.count(F.lit(1)).alias("n")).withColumn("ratio", F.when(F.col("tx") > 0, F.col("ty") / F.col("tx")))
     e = r.crossJoin(F.broadcast(t.select("ratio"))).withColumn("e", F.col("y") - F.col("ratio") * F.col("x"))
     s = e.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.sum("w").alias("total"), F.var_samp("e").alias("s2")).where("rows >= 2")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("notices", "expressions", "relational", "linkage", "survival", "episodes", "stages", "audit")
+MODULES = ("notices", "expressions", "relational", "linkage", "survival", "episodes", "stages", "audit", "evaluation")
 
 
 def _all():

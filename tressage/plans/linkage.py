@@ -260,19 +260,6 @@ def blocking_loss(spark, d):
     return j.groupBy(why.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@Q.query("""
-    SELECT x.anchor_digital_segment AS from_segment, c.c_mktsegment AS to_segment, count(*) AS n, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 6) AS share, upper(x.anchor_digital_segment[1:1]) = c.c_mktsegment[1:1] AS same
-    FROM (SELECT DISTINCT anchor_episode_id, candidate_episode_id, anchor_digital_segment, gap_days FROM candidate_pairs) x JOIN customer c ON c.c_custkey = x.gap_days GROUP BY 1, 2""")
-def transition_shares(spark, d):
-    from pyspark.sql import Window
-
-    p = table(spark, d, "candidate_pairs").select(ops.ANCHOR, ops.CANDIDATE, "anchor_digital_segment", "gap_days").distinct()
-    j = p.join(table(spark, d, "customer"), F.col("c_custkey") == F.col("gap_days"))
-    g = j.groupBy(F.col("anchor_digital_segment").alias("from_segment"), F.col("c_mktsegment").alias("to_segment")).agg(F.count(F.lit(1)).alias("n"))
-    same = F.upper(F.substring("from_segment", 1, 1)) == F.substring("to_segment", 1, 1)
-    return g.withColumns({"share": F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6), "same": same})
-
-
 @Q.query("""
     SELECT source_stratum, relationship_label, count(*) AS n, count(*) FILTER (observable_successor_y_n_uncertain = 'Y') AS yes, CASE WHEN count(*) FILTER (observable_successor_y_n_uncertain IN ('Y', 'N')) > 0 THEN round(count(*) FILTER (observable_successor_y_n_uncertain = 'Y') / (count(*) FILTER (observable_successor_y_n_uncertain IN ('Y', 'N')))::DOUBLE, 4) END AS precision
     FROM review_audit_findings GROUP BY 1, 2""")
@@ -319,7 +306,8 @@ def fs_em(spark, d):
 
 @Q.query()
 def method_d(spark, d):
+    """The posterior method at 0.65 under the model fitted to the pairs; ``method_d_fixed`` has a stored one."""
     p = table(spark, d, "candidate_pairs")
     fit = ops.fit_mixture(ops.patterns(p))
     s = ops.score_with(p, [(f, v, b) for f, v, _, _, b in fit["levels"]], fit["prior"])
-    return ops.predict(s, "D", 0.05, 1).select(ops.ANCHOR, ops.CANDIDATE, "score")
+    return ops.predict(s, "D", 65.0, 1).select(ops.ANCHOR, ops.CANDIDATE, "score")
