@@ -1,4 +1,6 @@
 import os
+import re
+import unicodedata
 
 import __spark_entry__ as entry
 import duckdb
@@ -25,12 +27,22 @@ def duck(data):
     return con
 
 
+def plain(v):
+    """A value as text: doubles to six places, arrays by their elements."""
+    if isinstance(v, float):
+        return "nan" if v != v else repr(round(v, 6) + 0.0)
+    return str([plain(x) for x in v]) if isinstance(v, (list, tuple)) else str(v)
+
+
 @pytest.mark.parametrize("name", sorted(set(entry.oracle_sql())))
 def test_rows_agree_with_sql(spark, data, duck, name):
-    got = entry.queries()[name](spark, data)
-    rel = duck.sql(entry.oracle_sql()[name])
-    assert sorted(got.columns) == sorted(rel.columns)
-    assert got.count() == len(rel.fetchall())
+    """Row for row and value for value, in any order."""
+    got, rel = entry.queries()[name](spark, data), duck.sql(entry.oracle_sql()[name])
+    columns = sorted(rel.columns)
+    assert sorted(got.columns) == columns
+    found = sorted(str([plain(v) for v in r]) for r in got.select(*[f"`{c}`" for c in columns]).collect())
+    want = sorted(str([plain(v) for v in r]) for r in rel.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall())
+    assert found == want
 
 
 def test_text_functions(spark):
@@ -45,3 +57,12 @@ def test_scores_leave_out_what_is_not_observable(spark):
     parts = {"buyer": F.col("b"), "text": F.col("t"), "cpv": F.col("c"), "time": F.col("m")}
     got = [tuple(r) for r in df.select(F.round(scores.weighted_score(parts), 4), scores.completeness(*parts.values()), scores.level(F.col("t"), *scores.TEXT_LEVELS)).collect()]
     assert got == [(66.6667, 2, "text<0.05"), (None, 0, "missing"), (100.0, 4, "text>=0.50")]
+
+
+def test_keys_are_composed_and_folded(spark):
+    df = spark.createDataFrame([("ﬁnances Straße É",), ("e\u0301cole",), ("Ville ①",), (None,), ("déjà vu",), ("İ",)], "a string")
+    got = [r.k for r in df.select(text.name_key(F.col("a")).alias("k")).collect()]
+    want = [None if v is None else " ".join(re.findall(r"\w+", unicodedata.normalize("NFKC", v).casefold())) for (v,) in df.collect()]
+    assert got[:5] == want[:5] and got[0] == "finances strasse é"
+    assert df.select(text.document_text(F.lit("a\u00a0\u2003b ½"))).first()[0] == "a b 1⁄2"
+    assert df.select(text.archived_key(F.lit("Communauté de communes de Bru Métropole"))).first()[0] == "de bru"

@@ -84,4 +84,4 @@ def test_asserted_join_keeps_every_row_of_the_left_side(spark, data):
     from tressage import plans
 
     li = spark.read.parquet(f"{data}/lineitem.parquet").count()
-    assert plans.queries()["asserted_join_all"](spark, data).count() == li > plans.queries()["asserted_join"](spark, data).count()
+    assert plans.queries()["asserted_join"](spark, data).count() == li

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 EMPTY_MARKS = ("", "none", "null", "nan", "<na>", "[]", "{}")
 #: Legal-form words that carry no identity when buyers are compared.
 GENERIC_BUYER = r"\b(commune de|ville de|mairie de|departement de|departement|region|conseil regional|conseil departemental)\b"
+#: Words of associations of municipalities that the superseded key drops.
+ASSOCIATION = r"\b(metropole|communaute de communes|communaute d agglomeration|communaute urbaine)\b"
 #: Fixed value: what people type where a reference is missing.
 REFERENCE_NOISE = (
     r"(?i)^(sans objet|neant|n/?a|non renseigne|aucun|fra|dce|voir( dce)?|cf\.?|org\s*[0-9]+|tpo\s*[0-9]+|"
@@ -19,7 +21,9 @@ REFERENCE_NOISE = (
 )
 #: Fixed value: an eight-digit code with an optional check digit.
 CODE = r"(?<![0-9])([0-9]{8})(?:-[0-9])?(?![0-9])"
+#: Fixed value: a notice's number.
 NOTICE_ID = r"(?<![0-9])([0-9]{2}-[0-9]+)(?![0-9])"
+#: Fixed value: a number as people write it.
 NUMERAL = r"-?[0-9]+(?:[\s ][0-9]{3})*(?:[.,][0-9]+)?"
 
 
@@ -53,9 +57,40 @@ def squeeze(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
+#: What compatibility composition or case folding may change beyond lower case: marks, forms and signs.
+_COMPATIBLE = "[^\u0000-\u017f]|[\u00a8\u00aa\u00af\u00b2-\u00b5\u00b8-\u00ba\u00bc-\u00be\u00df\u0130\u0132\u0133\u013f\u0140\u0149\u017f]"
+
+
+def compatible(x: Column, fold: bool = False) -> Column:
+    """Compatibility composed (NFKC), and case folded if asked; other texts never leave the JVM."""
+    import pandas as pd
+
+    def compose(v):
+        made = [None if t is None else unicodedata.normalize("NFKC", t) for t in v]
+        return pd.Series([t and t.casefold() for t in made] if fold else made, dtype=object)
+
+    compose.__annotations__ = {"v": pd.Series, "return": pd.Series}
+    return F.coalesce(F.pandas_udf(compose, "string")(F.when(x.rlike(_COMPATIBLE), x)), F.lower(x) if fold else x)
+
+
 def name_key(x: Column) -> Column:
-    """Lower case, words of letters, digits and underscores separated by one space; accents stay."""
-    return F.trim(F.regexp_replace(F.lower(x), r"(?U)[^\w]+", " "))
+    """Compatibility composed and case folded words of letters, digits and underscores separated by one space; accents stay."""
+    return word_key(compatible(x, fold=True))
+
+
+def word_key(x: Column) -> Column:
+    """Words of letters, digits and underscores of a composed and folded text, separated by one space."""
+    return F.trim(F.regexp_replace(x, r"(?U)[^\w]+", " "))
+
+
+def document_text(x: Column) -> Column:
+    """Compatibility composed, white space of any kind squeezed to one blank."""
+    return squeeze(compatible(x))
+
+
+def archived_key(x: Column) -> Column:
+    """The blocking key also without the words of associations of municipalities; superseded, and in no other key."""
+    return F.trim(F.regexp_replace(F.regexp_replace(blocking_key(x), ASSOCIATION, " "), " +", " "))
 
 
 def text_key(x: Column) -> Column:
@@ -68,9 +103,9 @@ def blocking_key(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text_key(x), GENERIC_BUYER, " "), " +", " "))
 
 
-def reference_key(x: Column) -> Column:
-    """The name key, or empty if it is shorter than three characters or says nothing."""
-    k = name_key(x)
+def reference_key(x: Column, composed: bool = False) -> Column:
+    """The name key, or empty if it is shorter than three characters or says nothing; ``composed``: see :func:`word_key`."""
+    k = word_key(x) if composed else name_key(x)
     return F.when((F.length(k) < 3) | k.rlike(REFERENCE_NOISE), F.lit("")).otherwise(k)
 
 
@@ -139,10 +174,14 @@ def numeral(x: Column) -> Column:
     return F.when(m == "", F.lit(None).cast("double")).otherwise(F.regexp_replace(F.regexp_replace(m, r"\s", ""), ",", ".").try_cast("double"))
 
 
+#: Words of a municipality, and of an association of them.
+TOWN_WORDS, UNION_WORDS = r"\b(commune|ville|mairie)\b", "metropole|métropole|communaute|communauté|agglomeration|agglomération|epci"
+
+
 def legal_family(x: Column) -> Column:
     t = F.coalesce(x, F.lit(""))
-    town = t.rlike(r"(?iu)\b(commune|ville|mairie)\b")
-    union = t.rlike(r"(?iu)(?<![\p{L}])(metropole|métropole|communaute|communauté|agglomeration|agglomération|epci)(?![\p{L}])")
+    town = t.rlike(f"(?iu){TOWN_WORDS}")
+    union = t.rlike(rf"(?iu)(?<![\p{{L}}])({UNION_WORDS})(?![\p{{L}}])")
     return F.when(town & union, "mixed_label").when(town, "municipal").when(union, "intercommunal").otherwise("other")
 
 

@@ -22,7 +22,10 @@ GATES = {"text": 0.25, "text_without_cpv": 0.55, "text_for_fuzzy": 0.40, "fuzzy_
 STRONG = ("siren", "normalized_name")
 #: Names that share a token are candidates with at least this Jaccard overlap of tokens or sequence ratio.
 TOKEN_OVERLAP, NAME_SIMILARITY = 0.34, 0.72
+#: Smoothing of level counts, the prior to start from and its bounds.
 LAPLACE, LAMBDA0, LAMBDA_BOUNDS = 0.5, 5e-4, (1e-9, 0.5)
+#: The columns a stored model reads.
+SCORED_FROM = ("buyer_match_type", "text_component", "cpv_component", "time_component")
 
 
 def block_pairs(anchors: DataFrame, pool: DataFrame, keys: list[str], gap: tuple[int, int] = GAP, identifier: str | None = None) -> DataFrame:
@@ -67,6 +70,20 @@ def sequence_ratio(pairs: DataFrame, left: str, right: str, out: str = "ratio")
     return pairs.withColumn(out, F.pandas_udf(ratio, "double")(F.col(left), F.col(right)))
 
 
+def buyer_match(pairs: DataFrame, a: str, b: str, a_id: str, b_id: str) -> DataFrame:
+    """Adds buyer_match_type and buyer_name_similarity: siren, normalized_name, fuzzy_name, token_overlap or none.
+
+    Equal identifiers decide; two that differ give none whatever the names.  Blank names never match.
+    """
+    p = sequence_ratio(pairs, a, b, "buyer_name_similarity")
+    here = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    kind = (
+        F.when(here(a_id) & (F.col(a_id) == F.col(b_id)), "siren").when(here(a_id) & here(b_id), "none").when(here(a) & (F.col(a) == F.col(b)), "normalized_name")
+        .when(F.col("buyer_name_similarity") >= GATES["fuzzy_name"], "fuzzy_name").when(texts.jaccard(texts.name_tokens(F.col(a)), texts.name_tokens(F.col(b))) >= TOKEN_OVERLAP, "token_overlap").otherwise("none")
+    )
+    return p.withColumn("buyer_match_type", kind)
+
+
 def token_pairs(names: DataFrame, name: str, block: int = 500) -> DataFrame:
     """(a_name, b_name, overlap, kept_by): names, a_name <= b_name, that share any token and pass the buyer test.
 
@@ -323,8 +340,13 @@ def fit_mixture(counted: DataFrame, free_u: bool = False, iterations: int = 200,
 def score_with(pairs: DataFrame, model: list[tuple[str, str, float]], prior: float) -> DataFrame:
     """Adds match_weight (bits) and fs_match_probability by a model of (field, level, log2 ratio); an unseen level adds 0.
 
-    A model has a few levels a field, so it becomes an expression and no join.
+    A model has a few levels a field, so it becomes an expression and no join.  A table that has a probability already
+    comes back as it is; one that lacks a column the model reads is refused.
     """
+    if "fs_match_probability" in pairs.columns:
+        return pairs
+    if missing := [c for c in SCORED_FROM if c not in pairs.columns]:
+        raise ValueError(f"columns missing for the model: {missing}")
     from ..functions.scores import logistic_bits
 
     cols = {"buyer": F.concat(F.lit("buyer_"), "buyer_match_type"), "text": level(F.col("text_component"), *TEXT_LEVELS), "cpv": level(F.col("cpv_component"), *CPV_LEVELS), "time": level(F.col("time_component"), *TIME_LEVELS)}
@@ -338,6 +360,13 @@ def score_with(pairs: DataFrame, model: list[tuple[str, str, float]], prior: flo
     return pairs.withColumn("match_weight", weight).withColumn("fs_match_probability", logistic_bits(F.col("match_weight")))
 
 
+def fit_divergence(counted: DataFrame) -> list[tuple]:
+    """(field, level, fixed, free, difference): the bits of each level with non-match rates fixed to the population's and fitted."""
+    fixed, free = fit_mixture(counted), fit_mixture(counted, free_u=True)
+    other = {(f, v): b for f, v, _, _, b in free["levels"]}
+    return [(f, v, b, other[f, v], other[f, v] - b) for f, v, _, _, b in fixed["levels"]]
+
+
 def cramers_v(counted: DataFrame) -> DataFrame:
     """(left_field, right_field, v) for every two fields, cells without pairs included; 0 with fewer than two levels."""
     out = None

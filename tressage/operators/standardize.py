@@ -10,6 +10,7 @@ give none; two different durations give null and "conflict"; values repeat once,
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,9 @@ _FIELDS = {
     "amounts": r"(?i)(?:.*\.)?(?:valeur(?:Estimee)?|montant|cbc:EstimatedAmount(?:\.#text)?)",
 }
 _CPV = re.compile(text.CODE)
+#: Fields whose texts are compatibility composed where they are read.
+COMPOSED = ("references", "titles", "descriptions")
+#: The most amounts kept of a notice.
 MOST_AMOUNTS = 50
 
 
@@ -72,7 +76,9 @@ def _lists(df: DataFrame, key: str, payload: str) -> DataFrame:
             out["layout"].append([*found[0][0].up()][-1].key if found and found[0][0].parent is not None else None)
             for f, vs in got.items():
                 vs = [c for x in vs for c in _CPV.findall(x.zfill(8) if x.isdigit() else x)] if f in ("codes", "principal") else vs
-                out[f].append(list(dict.fromkeys(vs)))
+                if f in COMPOSED:
+                    vs = [unicodedata.normalize("NFKC", x) for x in vs]
+                out[f].append(list(dict.fromkeys([x.casefold() for x in vs] if f == "references" else vs)))
         return out
 
     rows = df.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{payload}`").cast("string").alias("_p"))
@@ -90,7 +96,7 @@ def standardise(df: DataFrame, key: str = "idx", payload: str = "donnees") -> Da
     amounts = F.slice(F.array_distinct(F.filter(numbers("amounts"), lambda v: (v >= 0) & (v <= 1e11))), 1, MOST_AMOUNTS)
     lines = F.array_distinct(F.transform(F.concat("titles", "descriptions"), text.squeeze))
     r = r.withColumns({"_s": sirens, "_d": departments, "_m": months, "_n": F.coalesce(F.get("names", F.lit(0)), F.lit(""))})
-    reference = F.coalesce(F.get(F.filter(F.transform("references", text.reference_key), lambda v: v != ""), F.lit(0)), F.lit(""))
+    reference = F.coalesce(F.get(F.filter(F.transform("references", lambda v: text.reference_key(v, composed=True)), lambda v: v != ""), F.lit(0)), F.lit(""))
     return r.select(
         key, "layout", F.col("_n").alias("buyer_name"), F.when(F.size("_s") == 1, F.col("_s")[0]).otherwise("").alias("buyer_siren"), (F.size("_s") > 1).alias("identifier_conflict"),
         F.when(F.size("_d") == 1, F.col("_d")[0]).otherwise("").alias("buyer_department"), one("postcodes").alias("buyer_postcode"),

@@ -88,27 +88,25 @@ def logrank_counts(rows: DataFrame, group: str) -> DataFrame:
     return r.select(each).groupBy(f"x.{group}").agg(F.sum("x.d").alias("observed"), F.sum("x.e").alias("expected"))
 
 
-def logrank_sums(rows: DataFrame, group: str) -> tuple[list, DataFrame]:
-    """The levels, and one row with z_i, observed less expected, and v_i_j, its covariance."""
-    names, r = _risk_sets(rows, group)
-    k = range(len(names))
-    factor = F.when(F.col("Y") > 1, F.col("D") * (F.col("Y") - F.col("D")) / (F.col("Y") - 1)).otherwise(0.0)
-    sums = [F.sum(F.col(f"d{i}") - F.col("D") * F.col(f"y{i}") / F.col("Y")).alias(f"z{i}") for i in k]
-    return names, r.agg(*sums, *[F.sum(factor * F.col(f"y{i}") / F.col("Y") * ((1.0 if i == j else 0.0) - F.col(f"y{j}") / F.col("Y"))).alias(f"v{i}_{j}") for i in k for j in k])
-
-
 def logrank(rows: DataFrame, group: str) -> dict:
-    """Chi-square, degrees of freedom and p of the k-sample log-rank test; the covariance is summed in Spark."""
+    """Chi-square, degrees of freedom and p of the k-sample log-rank test, and (level, observed, expected) of each level.
+
+    The covariance is summed in Spark: what comes back is one row.
+    """
     import numpy as np
 
-    names, sums = logrank_sums(rows, group)
-    s, k = sums.first(), len(names)
-    if k < 2 or s is None or s["z0"] is None:
-        return {"chi2": 0.0, "df": max(k - 1, 0), "p": 1.0}
-    z = np.array([s[f"z{i}"] for i in range(k - 1)])
-    v = np.array([[s[f"v{i}_{j}"] for j in range(k - 1)] for i in range(k - 1)])
+    names, r = _risk_sets(rows, group)
+    k = range(len(names))
+    factor = F.when(F.col("Y") > 1, F.col("D") * (F.col("Y") - F.col("D")) / (F.col("Y") - 1)).otherwise(0.0)
+    expected = lambda i: F.col("D") * F.col(f"y{i}") / F.col("Y")
+    sums = [x for i in k for x in (F.sum(f"d{i}").alias(f"o{i}"), F.sum(expected(i)).alias(f"e{i}"))]
+    s = r.agg(F.count(F.lit(1)).alias("times"), *sums, *[F.sum(factor * F.col(f"y{i}") / F.col("Y") * ((1.0 if i == j else 0.0) - F.col(f"y{j}") / F.col("Y"))).alias(f"v{i}_{j}") for i in k for j in k]).first()
+    if len(names) < 2 or not s.times:
+        return {"chi2": 0.0, "df": max(len(names) - 1, 0), "p": 1.0, "levels": [(v, 0, 0.0) for v in names]}
+    z = np.array([s[f"o{i}"] - s[f"e{i}"] for i in k[:-1]])
+    v = np.array([[s[f"v{i}_{j}"] for j in k[:-1]] for i in k[:-1]])
     chi2 = float(z @ np.linalg.pinv(v) @ z)
-    return {"chi2": chi2, "df": k - 1, "p": chi2_sf(chi2, k - 1)}
+    return {"chi2": chi2, "df": len(names) - 1, "p": chi2_sf(chi2, len(names) - 1), "levels": [(names[i], s[f"o{i}"], s[f"e{i}"]) for i in k]}
 
 
 def patterns(rows: DataFrame, covariates: list[str], scratch: Scratch | None = None) -> DataFrame:

@@ -165,3 +165,31 @@ def by_series(panel: DataFrame, kernel, schema: str) -> DataFrame:
         return pd.DataFrame(rows, columns=names)
 
     return panel.groupBy("segment").applyInPandas(run, "segment string, " + schema)
+
+
+#: The two-sided 10 % point of Student's t with ten degrees of freedom, for slopes over twelve quarters.
+T_TEN = 1.812461123
+
+
+def direction(slopes: DataFrame) -> DataFrame:
+    """Adds state: increasing or decreasing where the slope over twelve quarters is told from none, else stable_or_uncertain."""
+    sure = F.coalesce(F.abs("t_stat") > T_TEN, F.lit(False))
+    return slopes.withColumn("state", F.when(sure & (F.col("slope") > 0), "increasing").when(sure & (F.col("slope") < 0), "decreasing").otherwise("stable_or_uncertain"))
+
+
+def signals(panel: DataFrame) -> DataFrame:
+    """(segment, state, slope, last_break, stationary, regime, advice): what the models of a series say, and to do."""
+
+    def kernel(values):
+        breaks, root, regime = stable_breaks(values), unit_root(values), regimes(values)
+        stationary = None if root is None else bool(root["adf_rejects"] and not root["kpss_rejects"])
+        return [(len(values) - breaks[-1] if breaks else None, stationary, regime["regime"] if regime else None)]
+
+    told = by_series(panel, kernel, "quarters_since_break int, stationary boolean, regime string")
+    j = direction(recent_slope(panel)).select("segment", "state", "slope").join(told, "segment")
+    recent = F.coalesce(F.col("quarters_since_break") <= 8, F.lit(False))
+    advice = (
+        F.when(recent, "watch: the level changed lately").when((F.col("state") == "increasing") & (F.coalesce("regime", F.lit("")) != "decline"), "expand").when((F.col("state") == "decreasing") & (F.coalesce("regime", F.lit("")) != "growth"), "reduce")
+        .when(F.col("state") != "stable_or_uncertain", "watch: direction and regime disagree").otherwise("hold")
+    )
+    return j.withColumn("advice", advice)

@@ -30,14 +30,8 @@ def relabelled_reviews(spark, d):
     return r.select("review_id", "event", F.col("gap_days").try_cast("int").alias("gap_days"), F.coalesce(F.col("event") == F.col("observable_successor_y_n_uncertain"), F.lit(False)).alias("consistent"))
 
 
-@Q.query("SELECT l_orderkey, l_linenumber, o_custkey, c_mktsegment FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_quantity > 40")
-def asserted_join(spark, d):
-    return _asserted(spark, d, table(spark, d, "lineitem").where("l_quantity > 40"))
-
-
 @Q.query("SELECT l_orderkey, l_linenumber, o_custkey, c_mktsegment FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey")
-def asserted_join_all(spark, d):
-    """Every row of lineitem; ``asserted_join`` takes quantities over 40 only."""
+def asserted_join(spark, d):
     return _asserted(spark, d, table(spark, d, "lineitem"))
 
 
@@ -63,17 +57,26 @@ def linked_share_difference(spark, d):
 _KEYWORDS = {"logiciel": "software", "serveurs": "it", "reseau": "telecom", "telephonie": "telecom", "video": "security", "acces": "security"}
 
 
+_WORDS_IN_ORDER = sorted(_KEYWORDS)
+
+
 @Q.query(r"""
     WITH n AS (SELECT idx, max(cpv_codes_json) AS c, ' ' || trim(regexp_replace(strip_accents(lower(max(objet))), '[^a-z0-9]+', ' ', 'g')) || ' ' AS k FROM notices_engineered GROUP BY 1),
-    s AS (SELECT idx, list_filter(list_transform(regexp_extract_all(c, '\b([0-9]{8})\b', 1), lambda x: x[1:2]), lambda x: x IN ('32', '35', '48', '72')) AS divisions, list_filter([""" + ", ".join(f"CASE WHEN contains(k, ' {w} ') THEN '{s}' END" for w, s in _KEYWORDS.items()) + """], lambda x: x IS NOT NULL) AS hits FROM n)
-    SELECT idx, CASE WHEN len(divisions) > 0 THEN 'CPV-' || divisions[1] WHEN len(hits) > 0 THEN hits[1] ELSE 'none' END AS segment FROM s""")
+    s AS (SELECT idx, list_filter(list_transform(regexp_extract_all(c, '\b([0-9]{8})\b', 1), lambda x: x[1:2]), lambda x: x IN ('32', '35', '48', '72')) AS divisions, k FROM n),
+    h AS (SELECT idx, segment, count(*) AS n, min(pos) AS first FROM s, (VALUES """ + ", ".join(f"({i}, '{w}', '{_KEYWORDS[w]}')" for i, w in enumerate(_WORDS_IN_ORDER)) + """) v(pos, word, segment) WHERE contains(k, ' ' || word || ' ') GROUP BY 1, 2),
+    m AS (SELECT idx, max_by(segment, (n, -first)) AS modal FROM h GROUP BY 1)
+    SELECT s.idx, CASE WHEN len(divisions) > 0 THEN 'CPV-' || divisions[1] ELSE coalesce(modal, 'none') END AS segment FROM s LEFT JOIN m USING (idx)""")
 def segment_choice(spark, d):
-    """The division of the first code in scope, else the segment of the first keyword found."""
+    """The division of the first code in scope, else the segment that most of the keywords found stand for, of equals the
+    one whose keyword comes first by name."""
     n = table(spark, d, "notices_engineered").groupBy("idx").agg(F.max("cpv_codes_json").alias("c"), F.max("objet").alias("o"))
     divisions = F.filter(F.transform(F.regexp_extract_all("c", F.lit(text.CODE), F.lit(1)), lambda v: F.substring(v, 1, 2)), lambda v: v.isin("32", "35", "48", "72"))
     padded = F.concat(F.lit(" "), text.text_key(F.col("o")), F.lit(" "))
-    hits = F.array_compact(F.array(*[F.when(F.contains(padded, F.lit(f" {w} ")), F.lit(s)) for w, s in _KEYWORDS.items()]))
-    return n.select("idx", F.coalesce(F.concat(F.lit("CPV-"), F.get(divisions, F.lit(0))), F.get(hits, F.lit(0)), F.lit("none")).alias("segment"))
+    hits = F.array_compact(F.array(*[F.when(F.contains(padded, F.lit(f" {w} ")), F.lit(_KEYWORDS[w])) for w in _WORDS_IN_ORDER]))
+    n = n.select("idx", divisions.alias("divisions"), hits.alias("hits"))
+    often = lambda v: F.size(F.filter("hits", lambda h: h == v))
+    modal = F.array_max(F.transform("hits", lambda v: F.struct(often(v).alias("n"), (-F.array_position("hits", v)).alias("first"), v.alias("segment"))))["segment"]
+    return n.select("idx", F.coalesce(F.concat(F.lit("CPV-"), F.get("divisions", F.lit(0))), modal, F.lit("none")).alias("segment"))
 
 
 @Q.query(r"""
@@ -134,17 +137,35 @@ def hard_negatives(spark, d):
     return g.withColumn("rate", F.when(F.col("at_risk") > 0, F.round(F.col("accepted") / F.col("at_risk"), 4)))
 
 
-_FAMILY = r"CASE WHEN regexp_matches({c}, '\b(commune|ville|mairie)\b', 'i') AND regexp_matches(' ' || {c} || ' ', '[^\p{{L}}](metropole|métropole|communaute|communauté|agglomeration|agglomération|epci)[^\p{{L}}]', 'i') THEN 'mixed_label' WHEN regexp_matches({c}, '\b(commune|ville|mairie)\b', 'i') THEN 'municipal' WHEN regexp_matches(' ' || {c} || ' ', '[^\p{{L}}](metropole|métropole|communaute|communauté|agglomeration|agglomération|epci)[^\p{{L}}]', 'i') THEN 'intercommunal' ELSE 'other' END"
+_UNION = rf"[^\p{{{{L}}}}]({text.UNION_WORDS})[^\p{{{{L}}}}]"
+_FAMILY = f"CASE WHEN regexp_matches({{c}}, '{text.TOWN_WORDS}', 'i') AND regexp_matches(' ' || {{c}} || ' ', '{_UNION}', 'i') THEN 'mixed_label' WHEN regexp_matches({{c}}, '{text.TOWN_WORDS}', 'i') THEN 'municipal' WHEN regexp_matches(' ' || {{c}} || ' ', '{_UNION}', 'i') THEN 'intercommunal' ELSE 'other' END"
+_LINKED = r"""
+    n AS (SELECT idx, idweb, max(buyer_key) AS buyer, max(code_departement) AS department, max(nomacheteur) AS name FROM notices_engineered GROUP BY 1, 2),
+    l AS (SELECT DISTINCT a.idx AS a_idx, c.idx AS c_idx, coalesce(a.buyer, '') AS ak, coalesce(c.buyer, '') AS ck, coalesce(a.department, '') AS ad, coalesce(c.department, '') AS cd, coalesce(a.name, '') AS an, coalesce(c.name, '') AS cn
+      FROM explicit_links e JOIN n a ON a.idx = e.right_idx JOIN n c ON c.idweb = regexp_replace(e.target_idweb, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g') WHERE a.idx <> c.idx)"""
 
 
-@Q.query(f"""
-    WITH f AS (SELECT DISTINCT sample_id, anchor_episode_id, successor_episode_id, {_FAMILY.format(c="coalesce(anchor_buyer_name, '')")} AS a, {_FAMILY.format(c="coalesce(candidate_buyer_name, '')")} AS b FROM confirmed_links)
-    SELECT reason, count(*) AS n FROM (SELECT CASE WHEN (a = 'municipal' AND b = 'intercommunal') OR (a = 'intercommunal' AND b = 'municipal') THEN 'municipal_intercommunal_mix' WHEN a <> b THEN 'legal_family_diff_review' ELSE '' END AS reason FROM f) GROUP BY 1""")
+def _linked(spark, d):
+    """Linked notices with the buyer's key, department and name of both."""
+    g = table(spark, d, "notices_engineered").groupBy("idx", "idweb").agg(*[F.coalesce(F.max(c), F.lit("")).alias(c) for c in ("buyer_key", "code_departement", "nomacheteur")])
+    e = table(spark, d, "explicit_links").select(F.col("right_idx").alias("a_idx"), text.trimmed(F.col("target_idweb")).alias("idweb")).distinct()
+    side = lambda p: [F.col("buyer_key").alias(f"{p}k"), F.col("code_departement").alias(f"{p}d"), F.col("nomacheteur").alias(f"{p}n")]
+    return e.join(g.select("idweb", F.col("idx").alias("c_idx"), *side("c")), "idweb").join(g.select(F.col("idx").alias("a_idx"), *side("a")), "a_idx").where("a_idx <> c_idx").drop("idweb").distinct()
+
+
+@Q.query(f"""WITH {_LINKED}, f AS (SELECT *, {_FAMILY.format(c='an')} AS a, {_FAMILY.format(c='cn')} AS b FROM l)
+    SELECT reason, count(*) AS n, bool_or(contains(reason, 'conflicting_validated_siren')) AS hard_fail FROM (SELECT concat_ws(';', CASE WHEN starts_with(ak, 'siren:') AND starts_with(ck, 'siren:') AND ak <> ck THEN 'conflicting_validated_siren' END,
+      CASE WHEN (a = 'municipal' AND b = 'intercommunal') OR (a = 'intercommunal' AND b = 'municipal') THEN 'municipal_intercommunal_mix' END, CASE WHEN starts_with(ak, 'name:') AND starts_with(ck, 'name:') AND ad <> '' AND cd <> '' AND ad <> cd THEN 'name_only_cross_department' END,
+      CASE WHEN a <> b THEN 'legal_family_diff_review' END) AS reason FROM f) GROUP BY 1""")
 def legal_form_audit(spark, d):
-    names = [text.legal_family(F.coalesce(c, F.lit(""))) for c in ("anchor_buyer_name", "candidate_buyer_name")]
-    f = table(spark, d, "confirmed_links").select("sample_id", ops.ANCHOR, "successor_episode_id", names[0].alias("a"), names[1].alias("b")).distinct()
-    mix = F.array_sort(F.array("a", "b")) == F.array(F.lit("intercommunal"), F.lit("municipal"))
-    return f.groupBy(F.when(mix, "municipal_intercommunal_mix").when(F.col("a") != F.col("b"), "legal_family_diff_review").otherwise("").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    """Why a pair of linked buyers needs a look, of four reasons; a conflict of validated identifiers fails it."""
+    f = _linked(spark, d).withColumns({"a": text.legal_family(F.col("an")), "b": text.legal_family(F.col("cn"))})
+    both = lambda p: F.col("ak").startswith(p) & F.col("ck").startswith(p)
+    reason = F.concat_ws(
+        ";", F.when(both("siren:") & (F.col("ak") != F.col("ck")), "conflicting_validated_siren"),
+        F.when(F.array_sort(F.array("a", "b")) == F.array(F.lit("intercommunal"), F.lit("municipal")), "municipal_intercommunal_mix"),
+        F.when(both("name:") & (F.col("ad") != "") & (F.col("cd") != "") & (F.col("ad") != F.col("cd")), "name_only_cross_department"), F.when(F.col("a") != F.col("b"), "legal_family_diff_review"))
+    return f.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n")).withColumn("hard_fail", F.contains("reason", F.lit("conflicting_validated_siren")))
 
 
 @Q.query("""
@@ -216,11 +237,19 @@ def reference_build(spark, d):
 
 @Q.query()
 def buyer_match_types(spark, d):
-    """The strongest evidence that two names are one buyer: identifier, equal name, similar name, shared tokens."""
-    p = table(spark, d, "confirmed_links").select("anchor_buyer_name", "candidate_buyer_name").where("anchor_buyer_name is not null and candidate_buyer_name is not null").distinct()
-    p = p.withColumns({"a": text.text_key(F.col("anchor_buyer_name")), "b": text.text_key(F.col("candidate_buyer_name"))})
-    p = ops.sequence_ratio(p, "a", "b")
-    kind = F.when((F.col("a") != "") & (F.col("a") == F.col("b")), "normalized_name").when(F.col("ratio") >= 0.82, "fuzzy_name").when(text.jaccard(text.name_tokens(F.col("a")), text.name_tokens(F.col("b"))) >= 0.34, "token_overlap").otherwise("none")
+    """The strongest evidence that the buyers of two linked notices are one; two identifiers that differ refuse the rest."""
+    p = _linked(spark, d).withColumns({"a": text.text_key(F.col("an")), "b": text.text_key(F.col("cn"))})
+    siren = lambda c: F.regexp_extract(c, "^siren:([0-9]+)$", 1)
+    return ops.buyer_match(p.withColumns({"a_siren": siren("ak"), "b_siren": siren("ck")}), "a", "b", "a_siren", "b_siren").groupBy("buyer_match_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@Q.query(f"""WITH {_LINKED}, k AS (SELECT *, regexp_extract(ak, '^siren:([0-9]+)$', 1) AS sa, regexp_extract(ck, '^siren:([0-9]+)$', 1) AS sc, trim(regexp_replace(strip_accents(lower(an)), '[^a-z0-9]+', ' ', 'g')) AS a, trim(regexp_replace(strip_accents(lower(cn)), '[^a-z0-9]+', ' ', 'g')) AS b FROM l)
+    SELECT kind, count(*) AS n FROM (SELECT CASE WHEN sa <> '' AND sa = sc THEN 'siren' WHEN sa <> '' AND sc <> '' THEN 'conflict' WHEN a <> '' AND a = b THEN 'normalized_name' ELSE 'other' END AS kind FROM k) GROUP BY 1""")
+def buyer_exact_matches(spark, d):
+    """The levels of buyer evidence that need no similarity."""
+    p = _linked(spark, d).withColumns({"a": text.text_key(F.col("an")), "b": text.text_key(F.col("cn"))})
+    sa, sc = (F.regexp_extract(c, "^siren:([0-9]+)$", 1) for c in ("ak", "ck"))
+    kind = F.when((sa != "") & (sa == sc), "siren").when((sa != "") & (sc != ""), "conflict").when((F.col("a") != "") & (F.col("a") == F.col("b")), "normalized_name").otherwise("other")
     return p.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -238,12 +267,35 @@ def univariate_screen(spark, d):
 
 @Q.query()
 def arm_retest(spark, d):
-    """The log-rank verdict and hazard ratios under several minimum gaps, and in how many arms each is significant."""
-    p = survival.bounded(survival.patterns(lives._design(spark, d), lives._COVARIATES), survival.MOST_PATTERNS, "patterns").toPandas()
+    """Every covariate under several minimum gaps: its hazard ratios, in how many of the four it is significant, whether it
+    always points one way; robust from three on, fragile up to one."""
     rows = []
-    for arm, months in (("3m", 3.0), ("6m", 6.0), ("12m", 12.0), ("24m", 24.0)):
-        x = p.assign(event=((p.event == 1) & (p.t >= months)).astype(int))
-        rows += [(arm, r["covariate"], r["hazard_ratio"], r["p"]) for r in survival.cox_fit(x, lives._COVARIATES)["rows"]]
+    for arm, p in lives.arms(spark, d):
+        rows += [(arm, r["covariate"], r["hazard_ratio"], r["p"]) for r in survival.cox_fit(p, lives._COVARIATES)["rows"]]
     g = spark.createDataFrame(rows, "arm string, covariate string, hr double, p double").groupBy("covariate")
-    out = g.agg(F.count_if(F.col("p") < 0.05).alias("significant"), F.count_distinct(F.col("hr") > 1).alias("directions"), F.min("hr").alias("least"), F.max("hr").alias("most"))
-    return out.withColumn("verdict", F.when((F.col("directions") == 1) & (F.col("significant") == 4), "ROBUST").when((F.col("directions") == 1) & (F.col("significant") >= 2), "MOSTLY_ROBUST").otherwise("LINKAGE_SENSITIVE"))
+    ratio = [F.max(F.when(F.col("arm") == a, F.col("hr"))).alias(f"hr_{a}") for a in lives.ARMS]
+    out = g.agg(*ratio, F.count_if(F.col("p") < 0.05).alias("significant"), (F.count_distinct(F.col("hr") > 1) == 1).alias("same_direction"))
+    verdict = F.when(F.col("same_direction") & (F.col("significant") >= 3), "robust").when(F.col("significant") <= 1, "fragile").otherwise("mixed")
+    return out.withColumn("verdict", verdict)
+
+
+@Q.query()
+def arm_logrank(spark, d):
+    """The log-rank test of the segments under several minimum gaps, its verdict, and their order by observed over expected."""
+    rows = []
+    base = lives.dataset(spark, d)
+    for arm, months in lives.ARMS.items():
+        x = base.withColumn("event", F.when((F.col("event") == 1) & (F.col("t") >= months), 1).otherwise(0))
+        test = survival.logrank(x, "segment")
+        order = " > ".join(v for v, _, _ in sorted(test["levels"], key=lambda x: (-(x[1] / x[2] if x[2] else 0.0), x[0])))
+        rows.append((arm, test["chi2"], test["df"], test["p"], "differ" if test["p"] < 0.05 else "no difference shown", order))
+    return spark.createDataFrame(rows, "arm string, chi2 double, df int, p double, verdict string, ordering string")
+
+
+@Q.query()
+def signal_matrix(spark, d):
+    """A row a segment: recent direction, last stable break, stationarity, regime, and what to do with them."""
+    from ..operators import trend
+    from .episodes import _panel
+
+    return trend.signals(_panel(spark, d))

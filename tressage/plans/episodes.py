@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -123,14 +124,25 @@ def recent_trend(spark, d):
     return trend.recent_slope(_panel(spark, d)).select("segment", *[F.round(c, 6).alias(c) for c in ("slope", "annualised", "mean", "r2")])
 
 
+def _t_tail(t):
+    return t.map(lambda v: t_sf2(v, 10) if v == v else 1.0).astype(float)
+
+
+_t_tail.__annotations__ = {"t": pd.Series, "return": pd.Series}
+
+
+@Q.query(f"""WITH r AS (SELECT segment, regr_slope(n, x) AS slope, regr_r2(n, x) AS r2 FROM (SELECT segment, n, 12 - row_number() OVER (PARTITION BY segment ORDER BY quarter DESC) AS x FROM {_PANEL} p) WHERE x >= 0 GROUP BY 1)
+    SELECT segment, round(slope, 6) AS slope, round(t, 6) AS t_stat, CASE WHEN abs(t) > {trend.T_TEN} AND slope > 0 THEN 'increasing' WHEN abs(t) > {trend.T_TEN} AND slope < 0 THEN 'decreasing' ELSE 'stable_or_uncertain' END AS state FROM (SELECT *, sign(slope) * sqrt(r2 * 10 / (1 - r2)) AS t FROM r)""")
+def trend_state(spark, d):
+    s = trend.direction(trend.recent_slope(_panel(spark, d)))
+    return s.select("segment", F.round("slope", 6).alias("slope"), F.round("t_stat", 6).alias("t_stat"), "state")
+
+
 @Q.query()
 def trend_signal(spark, d):
-    rows = trend.recent_slope(_panel(spark, d)).collect()  # one row a segment
-    out = []
-    for r in rows:
-        p = t_sf2(r.t_stat, 10) if r.t_stat is not None else 1.0
-        out.append((r.segment, r.slope, p, "increasing" if p < 0.1 and r.slope > 0 else "decreasing" if p < 0.1 and r.slope < 0 else "stable_or_uncertain"))
-    return spark.createDataFrame(out, "segment string, slope double, p_value double, state string")
+    """The direction of each series with the probability of its slope under none."""
+    p = F.pandas_udf(_t_tail, "double")("t_stat")
+    return trend.direction(trend.recent_slope(_panel(spark, d))).select("segment", "slope", p.alias("p_value"), "state")
 
 
 @Q.query()

@@ -311,3 +311,10 @@ def method_d(spark, d):
     fit = ops.fit_mixture(ops.patterns(p))
     s = ops.score_with(p, [(f, v, b) for f, v, _, _, b in fit["levels"]], fit["prior"])
     return ops.predict(s, "D", 65.0, 1).select(ops.ANCHOR, ops.CANDIDATE, "score")
+
+
+@Q.query()
+def fs_robustness(spark, d):
+    """How far the evidence of each level moves when the non-match rates are fitted too."""
+    rows = ops.fit_divergence(ops.patterns(table(spark, d, "candidate_pairs")))
+    return spark.createDataFrame(rows, "field string, level string, fixed double, free double, difference double")

@@ -160,22 +160,22 @@ def anti_filter(spark, d):
     return table(spark, d, "notices").select("idx", "idweb").distinct().join(e.select(F.col("right_idx").alias("idx")), "idx", "left_anti").join(e.select(text.trimmed(F.col("target_idweb")).alias("idweb")), "idweb", "left_anti").select("idx", "idweb")
 
 
-@Q.query("SELECT a.o_orderkey, CASE WHEN count(DISTINCT l_suppkey) = 1 THEN 'RESOLVED' WHEN count(l_suppkey) = 0 THEN 'UNRESOLVED' ELSE 'AMBIGUOUS' END AS outcome, count(DISTINCT l_suppkey) AS n FROM orders a LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 45 GROUP BY 1")
+@Q.query("SELECT a.o_orderkey, CASE WHEN count(DISTINCT l_suppkey) = 1 THEN 'RESOLVED' WHEN count(l_suppkey) = 0 THEN 'UNRESOLVED' ELSE 'AMBIGUOUS' END AS outcome, count(DISTINCT l_suppkey) AS n FROM orders a LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def cardinality_classes(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
     g = table(spark, d, "orders").select("o_orderkey").join(li, "o_orderkey", "left").groupBy("o_orderkey").agg(F.count_distinct("l_suppkey").alias("n"))
     return g.select("o_orderkey", F.when(F.col("n") == 1, "RESOLVED").when(F.col("n") == 0, "UNRESOLVED").otherwise("AMBIGUOUS").alias("outcome"), "n")
 
 
 @Q.query("""
-    SELECT CAST(y AS INT) AS year, s.c_mktsegment AS segment, coalesce(n, 0) AS n, CASE WHEN t > 0 THEN round(coalesce(n, 0) / t::DOUBLE, 6) END AS share FROM (SELECT unnest(generate_series(1995, 2001)) AS y) CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) s
-    LEFT JOIN (SELECT year(o_orderdate) AS yy, c_mktsegment, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 490000 GROUP BY 1, 2) x ON yy = y AND x.c_mktsegment = s.c_mktsegment
-    LEFT JOIN (SELECT year(o_orderdate) AS ty, count(*) AS t FROM orders WHERE o_totalprice > 490000 GROUP BY 1) z ON ty = y""")
+    SELECT CAST(y AS INT) AS year, s.c_mktsegment AS segment, coalesce(n, 0) AS n, CASE WHEN t > 0 THEN round(coalesce(n, 0) / t::DOUBLE, 6) END AS share FROM (SELECT unnest(generate_series(1992, 2003)) AS y) CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) s
+    LEFT JOIN (SELECT year(o_orderdate) AS yy, c_mktsegment, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2) x ON yy = y AND x.c_mktsegment = s.c_mktsegment
+    LEFT JOIN (SELECT year(o_orderdate) AS ty, count(*) AS t FROM orders GROUP BY 1) z ON ty = y""")
 def spine_zero_fill(spark, d):
-    o = table(spark, d, "orders").where("o_totalprice > 490000").withColumn("year", F.year("o_orderdate"))
+    o = table(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
     c = table(spark, d, "customer")
-    years = spark.range(1).select(F.explode(F.sequence(F.lit(1995), F.lit(2001))).alias("year"))
-    spine = years.crossJoin(F.broadcast(c.select(F.col("c_mktsegment").alias("segment")).distinct()))
+    years = spark.range(1).select(F.explode(F.sequence(F.lit(1992), F.lit(2003))).alias("year"))
+    spine = years.crossJoin(c.select(F.col("c_mktsegment").alias("segment")).distinct())  # twelve years
     n = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("year", F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"))
     t = o.groupBy("year").agg(F.count(F.lit(1)).alias("t"))
     return spine.join(n, ["year", "segment"], "left").join(t, "year", "left").select("year", "segment", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.when(F.col("t") > 0, F.round(F.coalesce("n", F.lit(0)) / F.col("t"), 6)).alias("share"))
@@ -230,9 +230,9 @@ def set_operations(spark, d):
     return key(o.where("o_orderstatus = 'F'")).intersect(key(o.where("o_orderstatus = 'P'"))).subtract(key(o.where("o_totalprice > 450000")))
 
 
-@Q.query("SELECT a.k AS o_custkey, a.s = b.s AS agree, a.s AS by_order, b.s AS by_item FROM (SELECT o_custkey AS k, list_sort(list(DISTINCT o_orderkey)) AS s FROM orders GROUP BY 1) a JOIN (SELECT o_custkey AS k, list_sort(list(DISTINCT l_orderkey)) AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber <= 3 GROUP BY 1) b ON a.k = b.k")
+@Q.query("SELECT a.k AS o_custkey, a.s = b.s AS agree, a.s AS by_order, b.s AS by_item FROM (SELECT o_custkey AS k, list_sort(list(DISTINCT o_orderkey)) AS s FROM orders GROUP BY 1) a JOIN (SELECT o_custkey AS k, list_sort(list(DISTINCT l_orderkey)) AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY 1) b ON a.k = b.k")
 def set_equality(spark, d):
-    o, li = table(spark, d, "orders"), table(spark, d, "lineitem").where("l_linenumber <= 3")
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem").where("l_returnflag = 'R'")
     a = o.groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderkey")).alias("by_order"))
     b = o.join(li, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.array_sort(F.collect_set("l_orderkey")).alias("by_item"))
     return a.join(b, "o_custkey").select("o_custkey", (F.col("by_order") == F.col("by_item")).alias("agree"), "by_order", "by_item")
@@ -244,6 +244,26 @@ def rollup_levels(spark, d):
     return c.rollup("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"), F.grouping_id().cast("int").alias("level"))
 
 
+@Q.query("SELECT c_mktsegment, c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS balance, CAST(grouping(c_mktsegment, c_nationkey) AS INT) AS level FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)")
+def cube_levels(spark, d):
+    c = table(spark, d, "customer")
+    return c.cube("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"), F.grouping_id().cast("int").alias("level"))
+
+
+@Q.query("SELECT n_regionkey, c_mktsegment, count(*) AS n, CAST(grouping(n_regionkey, c_mktsegment) AS INT) AS level FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY GROUPING SETS ((n_regionkey), (c_mktsegment))")
+def grouping_sets(spark, d):
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    j = c.join(F.broadcast(n), F.col("n_nationkey") == F.col("c_nationkey"))  # 25 rows by definition
+    return j.groupingSets([["n_regionkey"], ["c_mktsegment"]], "n_regionkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("int").alias("level"))
+
+
+@Q.query("SELECT o_orderpriority, abs(1 - 1) < 0.1 AS close FROM orders GROUP BY 1")
+def approximate_distinct(spark, d):
+    """Whether the approximate count of customers (2 % standard error) is within a tenth of the exact one."""
+    a = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.approx_count_distinct("o_custkey", 0.02).alias("a"), F.count_distinct("o_custkey").alias("e"))
+    return a.select("o_orderpriority", (F.abs(F.col("a") / F.col("e") - 1) < 0.1).alias("close"))
+
+
 @Q.query("SELECT CAST(m AS INT) AS mask, count(*) AS n, (m & 1) > 0 AS has_f, (m & 2) > 0 AS has_o, (m & 4) > 0 AS has_p FROM (SELECT o_custkey, bit_or(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 4 END) AS m FROM orders GROUP BY 1) GROUP BY m")
 def method_mask(spark, d):
     o = table(spark, d, "orders")

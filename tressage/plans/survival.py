@@ -112,10 +112,27 @@ def concordance(spark, d):
     return ops.concordance(dataset(spark, d).select("t", "event", F.col("award_year").alias("risk")))
 
 
-@Q.query(_BASE + ", f AS (SELECT *, pr = '5-LOW' AS flagged FROM x) SELECT id, CASE WHEN flagged THEN 0 ELSE event END AS event, CASE WHEN flagged THEN to_cutoff ELSE days END AS days FROM f")
+_LINKS = """
+    WITH p AS (SELECT anchor_episode_id AS a, candidate_episode_id AS c, max(CASE WHEN text_component IS NULL OR isnan(text_component) THEN 0.0 ELSE text_component END) AS s, max(CASE WHEN word_tfidf_similarity IS NULL OR isnan(word_tfidf_similarity) THEN 0.0 ELSE word_tfidf_similarity END) AS w, min(gap_days) AS gap FROM candidate_pairs GROUP BY 1, 2),
+    anchors AS (SELECT anchor_episode_id AS a, CAST(date_diff('day', max(CAST(anchor_award_date AS DATE)), (SELECT max(CAST(candidate_origin_date AS DATE)) FROM candidate_pairs)) AS INT) AS to_cutoff FROM candidate_pairs GROUP BY 1),
+    top AS (SELECT a, max_by(struct_pack(c := c, w := w, gap := gap), (s, c)) AS t FROM p WHERE s >= 0.5 GROUP BY 1),
+    l AS (SELECT anchors.a, to_cutoff, t.c AS c, t.gap AS gap, t.w AS w, count(*) OVER (PARTITION BY t.c) AS uses FROM anchors LEFT JOIN top USING (a))"""
+
+
+@Q.query(_LINKS + " SELECT a AS anchor_episode_id, CAST(c IS NOT NULL AND NOT (w < 0.5 OR uses > 1) AS INT) AS event, CASE WHEN c IS NOT NULL AND NOT (w < 0.5 OR uses > 1) THEN gap ELSE to_cutoff END AS days, coalesce(c IS NOT NULL AND (w < 0.5 OR uses > 1), false) AS flagged FROM l")
 def recensor_flagged(spark, d):
-    s, flag = dataset(spark, d), F.col("pr") == "5-LOW"
-    return s.select("id", F.when(flag, 0).otherwise(F.col("event")).alias("event"), F.when(flag, F.col("to_cutoff")).otherwise(F.col("days")).alias("days"))
+    """Accepted links that a template may explain, by few shared words or a successor that others have too, censored again."""
+    from ..operators.linkage import ANCHOR, CANDIDATE, _zero
+
+    p = table(spark, d, "candidate_pairs")
+    last = p.agg(F.max(F.to_date("candidate_origin_date")).alias("last"))
+    one = p.groupBy(ANCHOR, CANDIDATE).agg(F.max(_zero("text_component")).alias("s"), F.max(_zero("word_tfidf_similarity")).alias("w"), F.min("gap_days").alias("gap"), F.max(F.to_date("anchor_award_date")).alias("award"))
+    top = one.groupBy(ANCHOR).agg(F.max("award").alias("award"), F.max_by(F.struct(F.col(CANDIDATE).alias("c"), "w", "gap"), F.when(F.col("s") >= 0.5, F.struct("s", CANDIDATE))).alias("t"))
+    uses = top.where("t is not null").groupBy(F.col("t.c").alias("c")).agg(F.count(F.lit(1)).alias("uses"))
+    j = top.select(ANCHOR, "award", "t.c", "t.w", "t.gap").join(uses, "c", "left").crossJoin(F.broadcast(last))  # one row
+    linked = F.col("c").isNotNull()
+    flagged = F.coalesce(linked & ((F.col("w") < 0.5) | (F.col("uses") > 1)), F.lit(False))
+    return j.select(ANCHOR, (linked & ~flagged).cast("int").alias("event"), F.when(linked & ~flagged, F.col("gap")).otherwise(F.datediff("last", "award")).alias("days"), flagged.alias("flagged"))
 
 
 @Q.query(_BASE + " SELECT segment, count(*) AS kept, CAST(sum(event) AS BIGINT) AS events FROM x WHERE NOT coalesce(price BETWEEN 200000 AND 300000, false) GROUP BY 1")
@@ -144,10 +161,16 @@ def watchlist(spark, d):
     return p.withColumn("rank_no", F.row_number().over(w)).where("rank_no <= 5").select("id", "segment", "probability", "rank_no")
 
 
-@Q.query(_BASE + " SELECT segment, count(*) AS n, round(avg(CAST(abs(t - award_year % 30) <= 6 AS INT)), 6) AS within6, round(quantile_cont(abs(t - award_year % 30), 0.5), 6) AS median_abs FROM x WHERE event = 1 GROUP BY 1")
+@Q.query("""
+    WITH g AS (SELECT DISTINCT sample_id, anchor_theme, TRY_CAST(publication_gap_days AS INT) / 30.4375 AS declared, date_diff('day', TRY_CAST(anchor_award_notice_date AS DATE), TRY_CAST(candidate_start_date AS DATE)) / 30.4375 AS observed FROM confirmed_links)
+    SELECT anchor_theme AS segment, count(*) AS n, round(avg(CAST(abs(observed - declared) <= 6 AS INT)), 6) AS within6, round(quantile_cont(abs(observed - declared), 0.5), 6) AS median_abs FROM g WHERE declared IS NOT NULL AND observed IS NOT NULL GROUP BY 1""")
 def declared_vs_observed(spark, d):
-    gap = F.abs(F.col("t") - F.col("award_year") % 30)
-    return dataset(spark, d).where("event = 1").groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((gap <= 6).cast("int")), 6).alias("within6"), F.round(F.percentile(gap, F.lit(0.5)), 6).alias("median_abs"))
+    """The gap a reviewer wrote down against the one between the dates, in months."""
+    c = table(spark, d, "confirmed_links")
+    day = lambda x: F.col(x).try_cast("date")
+    g = c.select("sample_id", "anchor_theme", (F.col("publication_gap_days").try_cast("int") / 30.4375).alias("declared"), (F.datediff(day("candidate_start_date"), day("anchor_award_notice_date")) / 30.4375).alias("observed")).distinct()
+    g = g.where("declared is not null and observed is not null").withColumn("gap", F.abs(F.col("observed") - F.col("declared")))
+    return g.groupBy(F.col("anchor_theme").alias("segment")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("gap") <= 6).cast("int")), 6).alias("within6"), F.round(F.percentile("gap", F.lit(0.5)), 6).alias("median_abs"))
 
 
 @Q.query(_ALL + _KM + " SELECT round(regr_slope(ln(-ln(s)), ln(t)), 6) AS weibull_slope, round(regr_r2(ln(-ln(s)), ln(t)), 6) AS weibull_r2, round(regr_slope(ln((1 - s) / s), ln(t)), 6) AS loglogistic_slope FROM km WHERE s > 0 AND s < 1")
@@ -164,6 +187,31 @@ def _design(spark, d):
 _COVARIATES = ["segment_building", "segment_furniture", "segment_household", "segment_machinery", "large", "award_year"]
 
 
+#: Minimum gaps in months under which an event counts.
+ARMS = {"3m": 3.0, "6m": 6.0, "12m": 12.0, "24m": 24.0}
+
+
+def arms(spark, d):
+    """Each arm with its counted patterns; rows are counted once for all of them."""
+    p = ops.bounded(ops.patterns(_design(spark, d), _COVARIATES), ops.MOST_PATTERNS, "patterns").toPandas()
+    return [(arm, p.assign(event=((p.event == 1) & (p.t >= months)).astype(int))) for arm, months in ARMS.items()]
+
+
+@Q.query()
+def concordance_out_of_time(spark, d):
+    """The concordance of one model, fitted to awards up to 1997, within them and on the years after."""
+    base = _design(spark, d)
+    fitted = [c for c in _COVARIATES if c != "award_year"]
+    fit = ops.cox(base.where("award_year <= 0"), fitted)
+    risk = sum((F.lit(fit["beta"][c]) * F.col(c) for c in fitted), F.lit(0.0))
+    scored = base.select("t", "event", "award_year", F.round(risk, 9).alias("risk"))
+    out = None
+    for name, rows in (("train", "award_year <= 0"), ("1998-1999", "award_year between 1 and 2"), ("1998-2001", "award_year between 1 and 4")):
+        one = ops.concordance(scored.where(rows)).select(F.lit(name).alias("period"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @Q.query()
 def logrank(spark, d):
     r = ops.logrank(dataset(spark, d), "segment")
