@@ -201,6 +201,19 @@ def test_replay_and_constrained_components(spark):
     assert decisions.where("decision = 'trusted_buyer_conflict'").count() == sum(x == "trusted_buyer_conflict" for _, x in log)
 
 
+def test_components_with_hubs_kept_in_place(spark, monkeypatch):
+    from tressage import runtime
+
+    r = random.Random(3)
+    pairs = [(1, i) for i in range(2, 200)] + [(i, i + 1) for i in range(300, 340)] + [(r.randrange(400, 600), r.randrange(400, 600)) for _ in range(90)] + [(199, 300)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    want = {x.vertex: x.root for x in episodes.components(df, "a", "b", Scratch(spark, "t")).collect()}
+    monkeypatch.setattr(episodes, "HOT_FLOOR", 5)
+    monkeypatch.setattr(runtime, "HOT_FLOOR", 5)
+    assert {x.vertex: x.root for x in episodes.components(df, "a", "b", Scratch(spark, "t")).collect()} == want
+    assert want[340] == 1 and all(root <= v for v, root in want.items())
+
+
 def test_components_of_a_long_chain(spark):
     df = spark.range(300).selectExpr("id as a", "id + 1 as b")
     got = episodes.components(df, "a", "b", Scratch(spark, "test"))

@@ -85,3 +85,48 @@ def test_asserted_join_keeps_every_row_of_the_left_side(spark, data):
 
     li = spark.read.parquet(f"{data}/lineitem.parquet").count()
     assert plans.queries()["asserted_join"](spark, data).count() == li
+
+
+def test_years_without_rows_have_a_file_of_the_same_schema(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", 2001), (2, "b", 2003)], "id long, x string, year int")
+    files.write_years(df, f"file://{tmp_path}/y", "year", range(2001, 2004))
+    f = files.footers(spark, f"file://{tmp_path}/y").collect()
+    assert {x.folder.rsplit("=")[-1]: x.rows for x in f} == {"2001": 1, "2002": 0, "2003": 1} and len({x.columns for x in f}) == 1
+    with pytest.raises(ValueError):
+        files.write_years(df, f"file://{tmp_path}/z", "year", range(2001, 2003))
+
+
+def test_documents_and_columns(spark, tmp_path):
+    (tmp_path / "d.json").write_text('{\n "a": {"b": [1, 2]},\n "c": "x"\n}')
+    assert files.read_json_document(spark, f"file://{tmp_path}/d.json").first().a.b == [1, 2]
+    (tmp_path / "e.csv").write_text('a,b,c\n1,"x\ny",3\n4,z,6\n')
+    got = files.read_columns(spark, f"file://{tmp_path}/e.csv", ["c", "b"])
+    assert [tuple(r) for r in got.collect()] == [("3", "x\ny"), ("6", "z")] and files.read_columns(spark, f"file://{tmp_path}/e.csv", ["a"], 1).count() == 1
+
+
+def test_command_line(spark, data, tmp_path, capsys):
+    from tressage.__main__ import main
+
+    assert main(["list"]) == 0 and "km_by_segment" in capsys.readouterr().out.split()
+    args = ["run", "size_histogram", "--data", data, "--out", f"file://{tmp_path}"]
+    assert main(args, spark) == 0 and main(args, spark) == 0 and main([*args, "--force"], spark) == 0
+    assert capsys.readouterr().out.split("\n")[:3] == ["size_histogram: written", "size_histogram: complete", "size_histogram: written"]
+    assert spark.read.parquet(f"file://{tmp_path}/size_histogram").count() > 1 and main(["run", "no_such", "--data", data, "--out", "x"], spark) == 2
+
+
+def test_a_window_stream_frees_what_its_watermark_has_passed(spark, tmp_path):
+    import datetime as dt
+
+    from tressage.runtime import Scratch
+    from tressage.streaming import events
+
+    start = dt.datetime(2024, 1, 1)
+    for k in range(4):
+        rows = [(start + dt.timedelta(hours=10 * k, minutes=i), "ab"[i % 2], 1.0) for i in range(90)]
+        spark.createDataFrame(rows, "ts timestamp, kind string, value double").coalesce(1).write.parquet(f"file://{tmp_path}/e.parquet/part{k}")
+    schema = "ts timestamp, kind string, value double"
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1").parquet(f"file://{tmp_path}/e.parquet")
+    got = {(r.window_start, r.kind): r.n for r in events.run_to_end(events.window_counts(stream, "ts", "kind", "value"), "update", "w", ["window_start", "kind"]).collect()}
+    batch = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"file://{tmp_path}/e.parquet")
+    want = {(r.h, r.kind): r.n for r in batch.groupBy(F.date_trunc("hour", "ts").alias("h"), "kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == want and len(got) == 16

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import Scratch
+from ..runtime import HOT_FLOOR, Scratch, hot_keys, skew_join
 
 METHODS = ("contractfolderid", "explicit_linked_notice", "exact_reference_same_buyer")
 REFERENCE_SPAN_DAYS = 730
@@ -38,26 +38,42 @@ def components(edges: DataFrame, a: str, b: str, scratch: Scratch) -> DataFrame:
     """(vertex, root): the smallest vertex of each connected component, by label propagation with shortcuts.
 
     Each round a vertex takes the smallest label around it and then the label of its label, so the rounds grow with
-    the logarithm of the longest chain; each is written to the shared folder.
+    the logarithm of the longest chain; each is written to the shared folder.  A vertex with a share of all edges, or a
+    label with a share of all vertices, is met where its rows are (:func:`tressage.runtime.skew_join`).
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = scratch.write(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    total = e.count()
+
+    def busy(rows: DataFrame, key: str) -> DataFrame | None:
+        if total <= HOT_FLOOR:
+            return None
+        hot = scratch.write(hot_keys(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), [key], "n", total), "hot")
+        return hot if hot.head(1) else None
+
+    hubs = busy(e, "v")
     labels = scratch.write(e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")), "labels")
     while True:
-        near = e.join(labels.select(F.col("u").alias("v"), F.col("l").alias("n")), "v").groupBy("u").agg(F.min("n").alias("n"))
+        near = skew_join(e, labels.select(F.col("u").alias("v"), F.col("l").alias("n")), ["v"], hubs).groupBy("u").agg(F.min("n").alias("n"))
         new = labels.join(near, "u").select("u", F.least("l", "n").alias("l"))
         # the label of the label, and that vertex pulled along
         pulled = new.select(F.col("u"), "l").unionByName(labels.join(new.withColumnRenamed("l", "m"), "u").select(F.col("l").alias("u"), F.col("m").alias("l")))
         new = pulled.groupBy("u").agg(F.min("l").alias("l"))
+        if total > HOT_FLOOR:
+            new = scratch.write(new, "pulled")
         jump = new.select(F.col("u").alias("l"), F.col("l").alias("ll"))
-        new = scratch.write(new.join(jump, "l", "left").select("u", F.coalesce("ll", "l").alias("l")), "labels")
-        moved = new.join(labels.withColumnRenamed("l", "before"), "u").where("l <> before").limit(1).count()
-        scratch.drop(labels)
-        labels = new
+        after = scratch.write(skew_join(new, jump, ["l"], busy(new, "l"), "left").select("u", F.coalesce("ll", "l").alias("l")), "labels")
+        moved = after.join(labels.withColumnRenamed("l", "before"), "u").where("l <> before").limit(1).count()
+        scratch.drop(labels, new)
+        labels = after
         if not moved:
             return labels.select(F.col("u").alias("vertex"), F.col("l").alias("root"))
 
 
+#: What becomes of an edge.
+KNOWN, REFUSED, ACCEPTED = "already_connected", "trusted_buyer_conflict", "accepted"
+
+
 def replay(vertices: list, trusted: dict, edges: list[tuple]) -> tuple[dict, list[tuple]]:
     """Ordered edges with the veto: (vertex -> root, [(edge, decision)])."""
     parent = {v: v for v in vertices}
@@ -73,14 +89,14 @@ def replay(vertices: list, trusted: dict, edges: list[tuple]) -> tuple[dict, lis
     for edge in edges:
         x, y = find(edge[0]), find(edge[1])
         if x == y:
-            log.append((edge, "already_connected"))
+            log.append((edge, KNOWN))
         elif ids[x] and ids[y] and ids[x] != ids[y]:
-            log.append((edge, "trusted_buyer_conflict"))
+            log.append((edge, REFUSED))
         else:
             lo, hi = min(x, y), max(x, y)
             parent[hi] = lo
             ids[lo] |= ids[hi]
-            log.append((edge, "accepted"))
+            log.append((edge, ACCEPTED))
     return {v: find(v) for v in vertices}, log
 
 
@@ -109,7 +125,7 @@ def constrained_components(edges: DataFrame, trusted: DataFrame, scratch: Scratc
     played = scratch.write(hard.groupBy("root").applyInPandas(run, "vertex long, root long, left_id long, right_id long, priority int, decision string"), "replayed")
     easy = free.join(contested, "root", "left_anti").select("vertex", "root")
     out = easy.unionByName(played.where("vertex is not null").select("vertex", "root"))
-    plain = where.join(contested, "root", "left_anti").select("left_id", "right_id", "priority", F.lit("accepted").alias("decision"))
+    plain = where.join(contested, "root", "left_anti").select("left_id", "right_id", "priority", F.lit(ACCEPTED).alias("decision"))
     return out, plain.unionByName(played.where("left_id is not null").select("left_id", "right_id", "priority", "decision"))
 
 

@@ -80,6 +80,15 @@ def partitioned_roundtrip(spark, d):
     return spark.read.parquet(path).groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@Q.query("SELECT CAST(y AS INT) AS year, count(o_orderkey) AS n, 1::BIGINT AS schemas FROM (SELECT unnest(generate_series(1993, 2003)) AS y) LEFT JOIN orders ON year(o_orderdate) = y GROUP BY 1")
+def yearly_files(spark, d):
+    """A folder of files a year, also for years without orders, all of one schema."""
+    path = f"{Scratch(spark, 'yearly').root}/orders"
+    files.write_years(table(spark, d, "orders").withColumn("year", F.year("o_orderdate")), path, "year", range(1993, 2004))
+    f = files.footers(spark, path).select(F.regexp_extract("folder", "year=([0-9]+)", 1).cast("int").alias("year"), "rows", "columns")
+    return f.groupBy("year").agg(F.sum("rows").alias("n"), F.count_distinct("columns").alias("schemas"))
+
+
 @Q.query("SELECT 'all' AS part, count(*) AS n FROM orders UNION ALL SELECT 'large', count(*) FROM orders WHERE o_totalprice > 400000")
 def fan_out(spark, d):
     root = Scratch(spark, "fan").root
@@ -109,7 +118,7 @@ def standardised_notices(spark, d):
 @Q.query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_window_counts(spark, d):
     s = events.window_counts(events.open_stream(spark, d, "events"), "ts", "event_type", "value")
-    return events.run_to_end(s, "complete", "windows").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return events.run_to_end(s, "update", "windows", ["window_start", "event_type"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @Q.query("""

@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..runtime import Scratch
 
@@ -38,10 +39,12 @@ def first_seen(events: DataFrame, ts: str, keys: list[str], late: str = "2 hours
     return events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late).dropDuplicatesWithinWatermark(keys).drop("_ts")
 
 
-def run_to_end(stream: DataFrame, mode: str = "append", label: str = "stream") -> DataFrame:
+def run_to_end(stream: DataFrame, mode: str = "append", label: str = "stream", keys: list[str] | None = None) -> DataFrame:
     """Everything the input holds now, through the stream's own operators, as a table in the shared folder.
 
-    "complete" keeps the last state only; "append" what the watermark has closed.
+    "update" writes each batch's changed rows with the batch's number and keeps the last of each of ``keys``, so the
+    watermark frees the state of what it has passed; "append" gives what the watermark has closed; "complete" holds the
+    whole state, for operators that know no other way to show what is still open.
     """
     spark = stream.sparkSession
     scratch = Scratch(spark, label)
@@ -49,8 +52,14 @@ def run_to_end(stream: DataFrame, mode: str = "append", label: str = "stream") -
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{scratch.root}/state").trigger(availableNow=True)
     if mode == "complete":
         writer = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
+    elif mode == "update":
+        writer = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/_batch={n}"))
     else:
         writer = writer.format("parquet").option("path", out)
     query = writer.start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(out)
+    found = spark.read.schema(StructType([*stream.schema, StructField("_batch", IntegerType())])).option("basePath", out).parquet(out)
+    last = found.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "_batch").alias("x"))
+    return last.select(*keys, "x.*").select(*stream.columns)
