@@ -130,6 +130,9 @@ def _values(rows: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
             wanted: dict[str, list] = {}
             for n in need:
                 wanted.setdefault(n["path"], []).append((n["pair"], n["later"]))
+            # without escapes a key stands in the text as it is; a path's last key begins at a dot or at the start of it
+            if "\\" not in text and not any(f'{last}"' in text for last in {p.rpartition(".")[2] for p in wanted}):
+                continue
             got: dict[str, list[str]] = {}
             for node, v, _ in triples(text, root[0]) or ():
                 if v is not None and node.text in wanted:
