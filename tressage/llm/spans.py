@@ -159,12 +159,23 @@ def shared_windows(df: DataFrame, key: str, text: str, length: int = 120, scratc
 
 def shared_intervals(df: DataFrame, key: str, text: str, length: int = 120, scratch: Scratch | None = None) -> DataFrame:
     """(key, begin, end): the maximal intervals of each record, end exclusive, made of spans that occur elsewhere."""
-    order = Window.partitionBy("doc").orderBy("at")
     found = shared_windows(df, key, text, length, scratch)
-    new = F.coalesce(F.col("at") > F.lag("at").over(order) + length, F.lit(True))
-    part = found.withColumn("new", new.cast("int")).withColumn("part", F.sum("new").over(order))
-    out = part.groupBy("doc", "part").agg(F.min("at").alias("begin"), (F.max("at") + length).alias("end"))
-    return out.select(F.col("doc").alias(key), "begin", "end")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            docs = b.column(0)
+            for i in range(b.num_rows):
+                at = np.unique(b.column(1)[i].values.to_numpy(zero_copy_only=False))
+                first = np.flatnonzero(np.r_[True, at[1:] > at[:-1] + length])
+                last = np.r_[first[1:], len(at)] - 1
+                yield pa.RecordBatch.from_arrays([docs.take(pa.array([i] * len(first))), pa.array(at[first]), pa.array(at[last] + np.int32(length))], names=["doc", "begin", "end"])
+
+    # a record's windows are as many as its characters at most, and merge where they meet
+    merged = found.groupBy("doc").agg(F.collect_list("at").alias("ats")).mapInArrow(run, "doc long, begin int, end int")
+    return merged.select(F.col("doc").alias(key), "begin", "end")
 
 
 def shared_chars(df: DataFrame, key: str, text: str, length: int = 120, scratch: Scratch | None = None) -> DataFrame:
