@@ -166,12 +166,14 @@ def shared_intervals(df: DataFrame, key: str, text: str, length: int = 120, scra
         import pyarrow as pa
 
         for b in batches:
-            docs = b.column(0)
-            for i in range(b.num_rows):
-                at = np.unique(b.column(1)[i].values.to_numpy(zero_copy_only=False))
-                first = np.flatnonzero(np.r_[True, at[1:] > at[:-1] + length])
-                last = np.r_[first[1:], len(at)] - 1
-                yield pa.RecordBatch.from_arrays([docs.take(pa.array([i] * len(first))), pa.array(at[first]), pa.array(at[last] + np.int32(length))], names=["doc", "begin", "end"])
+            lists = b.column(1)
+            at, size = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+            # one number a window, in order of record and place
+            place = np.sort(np.repeat(np.arange(len(size), dtype=np.int64) << 32, size) | at)
+            first = np.flatnonzero(np.r_[True, place[1:] > place[:-1] + length])[: len(place)]
+            last = np.r_[first[1:], len(place)] - 1 if len(first) else first
+            at = (place & 0xFFFFFFFF).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(place[first] >> 32)), pa.array(at[first]), pa.array(at[last] + np.int32(length))], names=["doc", "begin", "end"])
 
     # a record's windows are as many as its characters at most, and merge where they meet
     merged = found.groupBy("doc").agg(F.collect_list("at").alias("ats")).mapInArrow(run, "doc long, begin int, end int")
