@@ -53,16 +53,17 @@ def components(edges: DataFrame, a: str, b: str, scratch: Scratch) -> DataFrame:
 
     hubs = busy(e, "v")
     labels = scratch.write(e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")), "labels")
+    many = labels.count() > HOT_FLOOR  # no label of fewer vertices is hot
     while True:
         near = skew_join(e, labels.select(F.col("u").alias("v"), F.col("l").alias("n")), ["v"], hubs).groupBy("u").agg(F.min("n").alias("n"))
         new = labels.join(near, "u").select("u", F.least("l", "n").alias("l"))
         # the label of the label, and that vertex pulled along
         pulled = new.select(F.col("u"), "l").unionByName(labels.join(new.withColumnRenamed("l", "m"), "u").select(F.col("l").alias("u"), F.col("m").alias("l")))
         new = pulled.groupBy("u").agg(F.min("l").alias("l"))
-        if total > HOT_FLOOR:
+        if many:
             new = scratch.write(new, "pulled")
         jump = new.select(F.col("u").alias("l"), F.col("l").alias("ll"))
-        after = scratch.write(skew_join(new, jump, ["l"], busy(new, "l"), "left").select("u", F.coalesce("ll", "l").alias("l")), "labels")
+        after = scratch.write(skew_join(new, jump, ["l"], busy(new, "l") if many else None, "left").select("u", F.coalesce("ll", "l").alias("l")), "labels")
         moved = after.join(labels.withColumnRenamed("l", "before"), "u").where("l <> before").limit(1).count()
         scratch.drop(labels, new)
         labels = after
