@@ -66,3 +66,8 @@ def test_keys_are_composed_and_folded(spark):
     assert got[:5] == want[:5] and got[0] == "finances strasse é"
     assert df.select(text.document_text(F.lit("a\u00a0\u2003b ½"))).first()[0] == "a b 1⁄2"
     assert df.select(text.archived_key(F.lit("Communauté de communes de Bru Métropole"))).first()[0] == "de bru"
+
+
+def test_approximate_counts_are_close(spark, data):
+    rows = entry.queries()["approximate_distinct"](spark, data).collect()
+    assert len(rows) == 5 and all(r.close for r in rows)
